@@ -1,0 +1,90 @@
+"""Compare registered queries with their SQL: ``python tests/check_oracle.py SF_DIR [name ...]``."""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def session(cores: str = "8") -> SparkSession:
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.sql.shuffle.partitions", cores)
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def normal(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame[sorted(frame.columns)]
+    return frame.sort_values(by=list(frame.columns), kind="stable").reset_index(drop=True)
+
+
+def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
+    """None if the two frames hold the same rows."""
+    if sorted(got.columns) != sorted(want.columns):
+        return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
+    if len(got) != len(want):
+        return f"rows {len(got)} != {len(want)}"
+    got, want = normal(got), normal(want)
+    for c in got.columns:
+        if got[c].dtype.kind != want[c].dtype.kind:
+            return f"{c}: type {got[c].dtype} != {want[c].dtype}"
+        same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
+        if not same.all():
+            at = same[~same].index[0]
+            return f"{c}: {(~same).sum()} rows differ, first {got.loc[at].to_dict()} != {want.loc[at].to_dict()}"
+    return None
+
+
+def main(sf_dir: str, names: list[str]) -> int:
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    spark, con = session(), database(sf_dir)
+    bad = 0
+    for name in names or list(queries):
+        t0 = time.time()
+        try:
+            got = queries[name](spark, sf_dir).toPandas()
+        except Exception as e:  # noqa: BLE001
+            bad += 1
+            print(f"{name:22s} ERROR {str(e)[:600]}", flush=True)
+            continue
+        t1 = time.time()
+        result = "rows only"
+        if name in oracles:
+            try:
+                result = difference(got, con.execute(oracles[name]).df()) or "ok"
+            except Exception as e:  # noqa: BLE001
+                result = f"SQL ERROR {str(e)[:600]}"
+            bad += result != "ok"
+        print(f"{name:22s} {t1 - t0:6.1f}s sql {time.time() - t1:5.1f}s rows {len(got):7d} {result}", flush=True)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1], sys.argv[2:]))
