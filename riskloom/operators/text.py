@@ -6,15 +6,23 @@ files collapses before every shuffle and no file's words are held in one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from riskloom.functions import columns as C
 from riskloom.functions.stopwords import ENGLISH, PUNCTUATION
+from riskloom.operators.ordering import running_totals
+from riskloom.runtime import settle
 
+GRAM_FILES = 4000
+CELLS_PER_PARTITION = 1_000_000
 KEPT_TYPES = ["Comment", "Identifier"]
 
 
@@ -82,9 +90,10 @@ def doc_vectors(
     scaled = vectors.select(F.col("token").alias("word"), "vec")
     if weights is not None:
         default = F.ln(n_files) if n_files is not None else F.lit(0.0)
-        weight = F.coalesce("idf", default)
-        scaled = scaled.join(weights.select("word", "idf"), "word", "left").select(
-            "word", F.transform("vec", lambda v: v * weight).alias("vec")
+        scaled = (
+            scaled.join(weights.select("word", "idf"), "word", "left")
+            .withColumn("weight", F.coalesce("idf", default))
+            .select("word", F.transform("vec", lambda v: v * F.col("weight")).alias("vec"))
         )
     sums = (
         tf.join(scaled, "word")
@@ -124,33 +133,49 @@ def tfidf_l2(tf: DataFrame, n_files: Column) -> DataFrame:
 def lsa(weights: DataFrame, components: int = 100, decimals: int = 2) -> DataFrame:
     """Truncated SVD of a long (file, word, weight) matrix: ``file_id, vec`` with U*S rounded.
 
-    The matrix is not centred. Signs of the components are arbitrary.
+    The matrix is not centred. Signs of the components are arbitrary. The solver runs one small job per
+    Lanczos step, so the rows are cached in partitions that are as few as their size allows.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    from riskloom.operators.ordering import running_totals
-    from riskloom.runtime import settle
+    from pyspark.mllib.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 
+    spark = weights.sparkSession
     weights = settle(weights)
     terms = running_totals(weights.select("word").distinct(), [F.col("word")], rank="term")
-    width = terms.count()
+    files = running_totals(weights.select("file_id").distinct(), [F.col("file_id")], rank="file")
+    n_terms, n_files = terms.count(), files.count()
+    k = min(components, n_terms, n_files)
+    indexed = weights.join(terms, "word").join(files, "file_id")
+    # few files: their products with each other fit a small matrix, found in one job; its leading
+    # eigenvectors times the roots of the eigenvalues are U*S
+    sideways = n_files <= GRAM_FILES and n_files < n_terms
+    row, col, width = ("term", "file", n_files) if sideways else ("file", "term", n_terms)
+    sparse = F.udf(lambda cells: Vectors.sparse(width, [c.i for c in cells], [c.weight for c in cells]), VectorUDT())
+    cell = F.struct((F.col(col) - 1).cast("int").alias("i"), "weight")
     rows = (
-        weights.join(terms, "word")
-        .groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(F.struct((F.col("term") - 1).cast("int").alias("i"), "weight"))).alias("cells"))
-        .select("file_id", F.col("cells.i").alias("i"), F.col("cells.weight").alias("w"))
+        indexed.groupBy(row if sideways else "file_id")
+        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        .select(F.col(row if sideways else "file_id"), sparse("cells").alias("row"))
+        .repartition(max(4, math.ceil(weights.count() / CELLS_PER_PARTITION)))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    matrix_rows = rows.rdd.map(lambda r: IndexedRow(r.file_id, Vectors.sparse(width, r.i, r.w))).cache()
-    matrix = IndexedRowMatrix(matrix_rows)
-    k = min(components, width, matrix_rows.count())
-    svd = matrix.computeSVD(k, computeU=True)
-    strengths = [float(x) for x in svd.s]
-    scaled = svd.U.rows.map(
-        lambda r: (r.index, [round(float(u) * s, decimals) for u, s in zip(r.vector, strengths)])
-    )
-    result = settle(weights.sparkSession.createDataFrame(scaled, "file_id BIGINT, vec ARRAY<DOUBLE>"))
-    matrix_rows.unpersist()
+    matrix = IndexedRowMatrix(rows)
+    if sideways:
+        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())  # at most GRAM_FILES wide
+        local = vectors[:, ::-1][:, :k] * np.sqrt(np.clip(values[::-1][:k], 0, None))
+        by_rank = spark.createDataFrame(
+            [(i + 1, [float(x) for x in v]) for i, v in enumerate(local.round(decimals))], "file BIGINT, vec ARRAY<DOUBLE>"
+        )
+        result = files.join(F.broadcast(by_rank), "file").select("file_id", "vec")
+    else:
+        svd = matrix.computeSVD(k, computeU=True)
+        strengths = [float(x) for x in svd.s]
+        result = spark.createDataFrame(
+            svd.U.rows.map(lambda r: (r.index, [round(float(u) * s, decimals) for u, s in zip(r.vector, strengths)])),
+            "file_id BIGINT, vec ARRAY<DOUBLE>",
+        )
+    result = settle(result)
+    rows.unpersist()
     return result
 
 

@@ -116,7 +116,7 @@ for _s, _f in (("", "fixes"), ("_v1", "fixes_v1"), ("_next", "fixes_next")):
 _CTES.update({
     "words": ("", f"""SELECT doc_id, list_transform(list_filter(
         string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' '),
-        x -> NOT list_contains({_STOPS}, x) AND length(x) > 1), x -> lower(x)) AS ws FROM documents"""),
+        lambda x: NOT list_contains({_STOPS}, x) AND length(x) > 1), lambda x: lower(x)) AS ws FROM documents"""),
     "tf": ("words", "SELECT doc_id AS file_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM words) GROUP BY 1, 2"),
     "idfs": ("tf", "SELECT word, count(*) AS df, ln((SELECT count(*) FROM documents) / (1.0::DOUBLE + count(*))) AS idf FROM tf GROUP BY 1"),
     "tokvec": ("idfs", """SELECT i.word, i.idf, e.embedding FROM idfs i JOIN embeddings e
@@ -185,7 +185,7 @@ _DELTA_REPORT = f"""round(delta, 8) AS delta, {_DELTA_WORD} AS magnitude,
 
 ORACLE: dict[str, str] = {
     "line_count": sql("", """SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)),
-        x -> trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(//|\\*|/\\*)'))) AS BIGINT) AS loc FROM documents"""),
+        lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(//|\\*|/\\*)'))) AS BIGINT) AS loc FROM documents"""),
     "token_filter": sql("", """SELECT file_id, pos, text, token_type FROM (SELECT doc_id AS file_id, pos - 1 AS pos, text,
         CASE WHEN regexp_matches(text, '[0-9]') THEN 'Literal' WHEN length(text) > 40 THEN 'Comment' ELSE 'Identifier' END AS token_type
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents))
@@ -211,7 +211,7 @@ ORACLE: dict[str, str] = {
                                        {'insertions': '-', 'deletions': '-', 'path': 'docs/logo.png'}]) AS s
               FROM lineitem l JOIN commits c ON c."commit" = l_orderkey JOIN files f ON f.file_id = l_partkey)"""),
     "path_norm": sql("files", """SELECT file_id, replace(path, '/', '\\') AS stored, path FROM files"""),
-    "java_filter": sql("files", """SELECT file_id, CAST(regexp_matches(p, '\\.java') AS INTEGER) AS strict,
+    "java_filter": sql("files", """SELECT file_id, coalesce(CAST(regexp_matches(p, '\\.java') AS INTEGER), -1) AS strict,
         CAST(coalesce(regexp_matches(p, '.java'), true) AS INTEGER) AS loose FROM
         (SELECT file_id, CASE WHEN loc > 40 THEN NULL WHEN loc > 30 THEN replace(path, '.java', '.md')
                 WHEN loc > 20 THEN replace(path, '.java', '-java.txt') ELSE path END AS p FROM files)"""),
@@ -243,7 +243,7 @@ ORACLE: dict[str, str] = {
     "cochange_degree": sql("degree", "SELECT file_id, degree FROM degree"),
     "doc_tokens": sql("words", "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws, ' ') AS words FROM words"),
     "split_identifiers": sql("", r"""SELECT p_partkey AS file_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        array_to_string(list_transform(string_split(p_name, ' '), x -> upper(x[1]) || lower(x[2:])), '') || 'XML' || p_type[1] || lower(p_type[2:]) || '_' || p_brand,
+        array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') || 'XML' || p_type[1] || lower(p_type[2:]) || '_' || p_brand,
         '[^A-Za-z0-9]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'),
         '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')) AS words FROM part"""),
     "idf": sql("idfs", "SELECT word, df, round(idf, 8) AS idf FROM idfs"),
@@ -264,7 +264,9 @@ ORACLE: dict[str, str] = {
     "cosine_matrix": sql("", """SELECT a, b, sim, round(1 - sim, 2) AS dist FROM (SELECT x.vec_id AS a, y.vec_id AS b,
         round_even(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 100, 0) / 100 + 0.0::DOUBLE AS sim
         FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"""),
-    "kmeans_sweep_limit": sql("", """SELECT count(*) AS files, count(DISTINCT embedding) AS points, count(DISTINCT embedding) AS iteration FROM embeddings"""),
+    "kmeans_sweep_limit": sql("", """SELECT count(*) AS files, count(DISTINCT r) AS points, least(count(*), count(DISTINCT r)) AS iteration FROM
+        (SELECT x.vec_id, list(round_even(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 100, 0) ORDER BY y.vec_id) AS r
+         FROM embeddings x CROSS JOIN embeddings y GROUP BY 1)"""),
     "label_loc": sql("labels files", "SELECT file_id, label, loc FROM labels JOIN files USING (file_id)"),
     "cluster_data": sql("clusters", f"""SELECT k, label, in_change, out_change, in_file, out_file, in_loc, out_loc, {_rounded(_RATES, 10)} FROM clusters"""),
     "cluster_rates": sql("base", """SELECT k, label, round(in_change / (in_file * in_file), 10) AS in_change_file_r,

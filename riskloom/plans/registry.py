@@ -152,7 +152,9 @@ def java_filter(t: Tables) -> DataFrame:
     ).otherwise(F.col("path"))
     mixed = t.files().select("file_id", kinds.alias("path"))
     return mixed.select(
-        "file_id", C.is_java_strict(F.col("path")).cast("int").alias("strict"), C.is_java_loose(F.col("path")).cast("int").alias("loose")
+        "file_id",
+        F.coalesce(C.is_java_strict(F.col("path")).cast("int"), F.lit(-1)).alias("strict"),
+        C.is_java_loose(F.col("path")).cast("int").alias("loose")
     )
 
 
