@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Up to this many different issue-key heads are looked up by name.
+ANCHORED_HEADS = 200
+
 # The field markers of the log format. A field may hold no line break.
 _FIELDS = {
     "commit": r"commit-hash:(.*)\|\|message",
@@ -21,11 +24,12 @@ def parse_blocks(blocks: DataFrame, strict_prefix: bool = False) -> DataFrame:
     left out; with ``strict_prefix`` everything from the first malformed block on is left
     out, which is what a reader that stops there would give.
     """
-    parsed = blocks.select(
-        "pos",
-        "block",
+    found = F.struct(
         *[F.regexp_extract_all("block", F.lit(rx), 1).alias(name) for name, rx in _FIELDS.items()],
+        F.split("block", "\n").alias("lines"),
     )
+    # generated rather than projected, so that a filter on a field does not repeat the matching
+    parsed = blocks.select("pos", F.inline(F.array(found)))
     well_formed = F.lit(True)
     for name in _FIELDS:
         well_formed = well_formed & (F.size(name) == 1)
@@ -34,18 +38,18 @@ def parse_blocks(blocks: DataFrame, strict_prefix: bool = False) -> DataFrame:
         parsed = parsed.withColumn("_stop", first_bad).filter(
             F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))
         )
-    good = parsed.filter(well_formed)
     # numstat lines: the third line of the block onward
-    lines = F.expr("filter(slice(split(block, '\\r?\\n'), 3, size(split(block, '\\r?\\n'))), x -> x <> '')")
+    numstat = F.filter(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), lambda x: F.trim(x) != "")
+    fields = F.transform(numstat, lambda line: F.split(F.rtrim(line, F.lit("\r")), "\t"))
     change = F.transform(
-        lines,
-        lambda line: F.struct(
-            F.get(F.split(line, "\t"), F.lit(0)).alias("insertions"),
-            F.get(F.split(line, "\t"), F.lit(1)).alias("deletions"),
-            F.replace(F.get(F.split(line, "\t"), F.lit(2)), F.lit("\\"), F.lit("/")).alias("path"),
+        fields,
+        lambda f: F.struct(
+            F.get(f, F.lit(0)).alias("insertions"),
+            F.get(f, F.lit(1)).alias("deletions"),
+            F.replace(F.get(f, F.lit(2)), F.lit("\\"), F.lit("/")).alias("path"),
         ),
     )
-    return good.select(
+    return parsed.filter(well_formed).select(
         F.col("commit")[0].alias("commit"),
         F.col("commiter")[0].alias("commiter"),
         # the trailing UTC offset (6 characters) is dropped, not applied
@@ -77,9 +81,9 @@ def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> Da
     character and ``12`` in a row; a longer number with the same start matches too. With
     ``exact`` the named key must not continue in letters or digits on either side.
 
-    Every key fixes the lengths of its two parts. For each occurring pair of lengths (a
-    handful, limited by the key format) the message yields its windows of that shape, and the
-    windows meet the keys in an equi-join, so no message is compared with every key.
+    A message yields the places where a head occurs, or with very many different heads all
+    windows as long as a head, and each place yields one candidate per tail length in use. The
+    candidates meet the keys in an equi-join, so no message is compared with every key.
     """
     parts = F.split(F.lower("issue_key"), "-")
     keys = (
@@ -88,25 +92,33 @@ def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> Da
         .select("issue_key", parts[0].alias("head"), F.get(parts, F.lit(1)).alias("tail"))
         .filter(F.col("tail").isNotNull())
     )
-    shapes = keys.agg(
-        F.collect_set(F.struct(F.length("head").alias("h"), F.length("tail").alias("t"))).alias("s")
-    ).scalar()
-    # one blank on either side, so that every window also shows its two neighbours
-    text = F.concat(F.lit(" "), F.lower("message"), F.lit(" "))
-    length = (F.col("s.h") + F.col("s.t") + 3).cast("string")
-    overlapping = F.concat(F.lit("(?s)(?=(.{"), length, F.lit("}))"))
+    heads = keys.select("head").distinct().limit(ANCHORED_HEADS + 1).count()
+    if heads <= ANCHORED_HEADS:
+        group, start = F.col("head"), F.concat(F.lit("\\Q"), "head", F.lit("\\E"))
+    else:
+        group = F.length("head")
+        start = F.concat(F.lit(".{"), F.length("head").cast("string"), F.lit("}"))
+    anchors = keys.groupBy(group.alias("g"), start.alias("start"), F.length("head").alias("h")).agg(
+        F.collect_set(F.length("tail")).alias("tails"), F.max(F.length("tail")).alias("longest")
+    )
+    # at most ANCHORED_HEADS entries, or one per length of a head
+    anchors = anchors.agg(F.collect_list(F.struct("start", "h", "tails", "longest")).alias("a")).scalar()
+    # one blank before and enough behind, so that every window shows its two neighbours
+    text = F.concat(F.lit(" "), F.lower("message"), F.repeat(F.lit(" "), F.col("a.longest") + 1))
+    overlapping = F.concat(F.lit("(?s)(?=(."), F.col("a.start"), F.lit(".{"), (F.col("a.longest") + 2).cast("string"), F.lit("}))"))
     windows = (
         commits.filter(F.col("message").isNotNull())
-        .select("commit", text.alias("text"), shapes.alias("shapes"))
-        .select("commit", "text", F.explode("shapes").alias("s"))
-        .select("commit", "s", F.explode(F.regexp_extract_all("text", overlapping, 1)).alias("window"))
+        .select("commit", "message", anchors.alias("anchors"))
+        .select("commit", "message", F.explode("anchors").alias("a"))
+        .select("commit", "a.h", "a.tails", F.explode(F.regexp_extract_all(text, overlapping, 1)).alias("window"))
+        .select("commit", "h", "window", F.explode("tails").alias("t"))
     )
-    before, after = F.substring("window", 1, 1), F.substring("window", -1, 1)
-    head = F.substring(F.col("window"), F.lit(2), F.col("s.h"))
-    gap = F.substring(F.col("window"), F.col("s.h") + 2, F.lit(1))
-    tail = F.substring(F.col("window"), F.col("s.h") + 3, F.col("s.t"))
+    head = F.substring(F.col("window"), F.lit(2), F.col("h"))
+    gap = F.substring(F.col("window"), F.col("h") + 2, F.lit(1))
+    tail = F.substring(F.col("window"), F.col("h") + 3, F.col("t"))
     windows = windows.filter(gap != "\n")
     if exact:
+        before, after = F.substring("window", 1, 1), F.substring(F.col("window"), F.col("h") + F.col("t") + 3, F.lit(1))
         windows = windows.filter(~before.rlike("[a-z0-9]") & ~after.rlike("[a-z0-9]"))
     candidates = windows.select("commit", head.alias("head"), tail.alias("tail")).distinct()
     return candidates.join(keys, ["head", "tail"]).select("commit", "issue_key").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import cochange, hierarchy, hotspots, kmeans, quality, scoring, similarity, text
-from riskloom.runtime import settle
+from riskloom.runtime import settle, store
 
 
 class RiskRanking(NamedTuple):
@@ -92,7 +92,7 @@ def file_vectors(
         return text.doc_embed(texts, id_col, text.clean_words(F.col(text_col)))
     files = texts.select(F.col(id_col).alias("file_id"))
     n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tf = text.text_words(texts, id_col, text_col)
+    tf = store(text.text_words(texts, id_col, text_col))  # read by the weights and by the sums
     if vectorizer == "tfidf_lsa":
         return text.lsa(text.tfidf_l2(tf, n))
     if token_vectors is None or dim is None:

@@ -14,7 +14,7 @@ from riskloom.operators import (
 from riskloom.operators.history import history_summary, release_diff
 from riskloom.plans import pipelines
 from riskloom.plans.views import V1_END, V2_START, Tables
-from riskloom.runtime import settle
+from riskloom.runtime import settle, spread, store
 from riskloom.sources import scans, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ def _ts(text: str):
 
 @query
 def line_count(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", C.line_count(F.col("text")).alias("loc"))
+    return t.documents().select("doc_id", C.line_count(F.col("text")).alias("loc"))
 
 
 @query
@@ -121,7 +121,7 @@ def cluster_layout(t: Tables) -> DataFrame:
 def log_parse(t: Tables) -> DataFrame:
     """Log text made from the tables, one block per changed line, and parsed back."""
     made = (
-        t("lineitem")
+        spread(t("lineitem"))
         .join(t.commits().withColumnRenamed("commit", "l_orderkey"), "l_orderkey")
         .join(t.files().withColumnRenamed("file_id", "l_partkey"), "l_partkey")
     )
@@ -186,14 +186,17 @@ def release_increment(t: Tables) -> DataFrame:
 
 @query
 def release_commits(t: Tables) -> DataFrame:
-    commits = t.commits().select("commit", "commiter", "date")
+    commits = t("orders").select(
+        F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("commiter"), F.col("o_orderdate").alias("date")
+    )
     newer = release_diff(commits.filter(F.col("date") >= _ts(V2_START)), commits.filter(F.col("date") < _ts(V1_END)))
     return newer.select("commit", "commiter")
 
 
 @query
 def history_counts(t: Tables) -> DataFrame:
-    commits, fixes = t.commits().select("commit", "date"), t.fix_commits()
+    commits = t("orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("date"))
+    fixes = t.fix_commits()
     v2, v1 = (lambda d: d.filter(F.col("date") >= _ts(V2_START))), (lambda d: d.filter(F.col("date") < _ts(V1_END)))
     return history_summary(v2(commits), v1(commits), v2(fixes), v1(fixes))
 
@@ -245,7 +248,7 @@ def cochange_degree(t: Tables) -> DataFrame:
 @query
 def doc_tokens(t: Tables) -> DataFrame:
     words = text.clean_words(F.col("text"))
-    return t("documents").select("doc_id", F.size(words).cast("bigint").alias("n"), F.array_join(words, " ").alias("words"))
+    return t.documents().select("doc_id", F.size(words).cast("bigint").alias("n"), F.array_join(words, " ").alias("words"))
 
 
 @query
@@ -267,14 +270,14 @@ def _long(vectors: DataFrame, decimals: int = 7) -> DataFrame:
 @query
 def doc_vector(t: Tables) -> DataFrame:
     n = t.n_documents()
-    tf = t.tf()
+    tf = store(t.tf())
     files = t("documents").select(F.col("doc_id").alias("file_id"))
     return _long(text.doc_vectors(tf, t.token_vectors(tf), EMBEDDING_DIM, files, text.idf(tf, n), n))
 
 
 @query
 def doc_vector_plain(t: Tables) -> DataFrame:
-    tf = t.tf()
+    tf = store(t.tf())
     files = t("documents").select(F.col("doc_id").alias("file_id"))
     return _long(text.doc_vectors(tf, t.token_vectors(tf), EMBEDDING_DIM, files))
 
@@ -295,7 +298,7 @@ def lsa(t: Tables) -> DataFrame:
 
 @query
 def doc_embed(t: Tables) -> DataFrame:
-    return text.doc_embed(t("documents"), "doc_id", text.clean_words(F.col("text")))
+    return text.doc_embed(t.documents(), "doc_id", text.clean_words(F.col("text")))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import cochange, hotspots, text
 from riskloom.operators.history import release_diff
+from riskloom.runtime import spread
 
 V1_END, V2_START = "1999-01-01", "1997-01-01"
 SWEEP = 12  # number of cuts in labels_k
@@ -39,7 +40,7 @@ class Tables:
         return self("part").select(F.col("p_partkey").alias("file_id"), F.col("p_size").cast("bigint").alias("loc"))
 
     def commits(self) -> DataFrame:
-        return self("orders").select(
+        return spread(self("orders")).select(
             F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("commiter"), F.col("o_orderdate").alias("date"),
             F.concat(F.lit("Fix "), "o_orderpriority", F.lit(" for Customer#"), F.col("o_custkey").cast("string")).alias("message"),
         )
@@ -101,11 +102,14 @@ class Tables:
 
     # texts and vectors ------------------------------------------------------------------
 
+    def documents(self) -> DataFrame:
+        return spread(self("documents"))
+
     def n_documents(self) -> Column:
         return self("documents").agg(F.count(F.lit(1)).alias("n")).scalar()
 
     def tf(self) -> DataFrame:
-        return text.text_words(self("documents"), "doc_id", "text")
+        return text.text_words(self.documents(), "doc_id", "text")
 
     def token_vectors(self, tf: DataFrame) -> DataFrame:
         """A vector for each word of two documents or more, chosen by a hash of the word."""

@@ -56,6 +56,16 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan of few splits over all cores, for steps that work hard on each row.
+
+    A scan that already has a split per core stays as it is. Meant for scans: asking a plan with
+    shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scalar_struct(df: DataFrame):
     """The single row of ``df`` as a struct-valued scalar subquery column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
