@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
+from riskloom.operators.matching import matching_size
 from riskloom.operators.ordering import rank_within, running_totals
-from riskloom.runtime import scalar_struct, settle
+from riskloom.runtime import scalar_struct, settle, store
 
 SMELL_KEY = ["cause", "type", "package", "smell"]
 
@@ -178,16 +179,16 @@ def mojofm(overlap: DataFrame) -> DataFrame:
     """MoJoFM of grouping ``a`` against the authority ``b``, in percent with one decimal.
 
     Moves are the members outside the largest overlap of their group; joins are the groups beyond
-    the distinct targets. Equal overlaps take the smallest target, which is exact if no group
-    has two equally good targets and otherwise never too favourable. The largest possible
-    distance is n minus the most groups the authority could tell apart, which for group
-    sizes c in ascending order is the minimum of (number of groups) and c + groups after it.
+    the distinct targets. A group with equally large overlaps is free to choose, and the most
+    distinct targets are a maximum matching. The largest possible distance is n minus the most
+    groups the authority could tell apart, which for group sizes c in ascending order is the
+    minimum of (number of groups) and c + groups after it.
     """
     overlap = settle(overlap)
-    best = overlap.groupBy("a_group").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("b_group").alias("target"))).alias("m"))
-    mine = best.agg(
-        F.count(F.lit(1)).alias("groups"), (-F.sum("m.less")).alias("kept"), F.count_distinct("m.target").alias("targets")
-    )
+    best = overlap.groupBy("a_group").agg(F.max("n").alias("n"))
+    mine = best.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("kept"))
+    choices = overlap.join(best, ["a_group", "n"]).select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+    targets = F.lit(matching_size(choices)).cast("bigint")
     sizes = overlap.groupBy("b_group").agg(F.sum("n").alias("c"))
     histogram = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("with_size"))
     placed = running_totals(histogram, [F.col("c")], {"up_to": "with_size"})
@@ -199,7 +200,7 @@ def mojofm(overlap: DataFrame) -> DataFrame:
     )
     row = apart.withColumn("m", scalar_struct(mine))
     moves = F.col("n") - F.col("m.kept")
-    joins = F.col("m.groups") - F.col("m.targets")
+    joins = F.col("m.groups") - targets
     return row.select(
         "n", moves.alias("moves"), joins.alias("joins"), (F.col("n") - F.col("apart")).alias("max_distance"),
         C.round_even(100 * (1 - F.coalesce(C.ratio(moves + joins, F.col("n") - F.col("apart")), F.lit(0.0))), 1).alias("mojofm"),
@@ -209,18 +210,92 @@ def mojofm(overlap: DataFrame) -> DataFrame:
 def cluster_layout(files: DataFrame) -> DataFrame:
     """File name of every file in the folder of its cluster: a repeated name gets ``_1``, ``_2``, ...
 
-    ``files`` has ``file_id, path, label``; files are placed in id order and the number goes before
-    the extension. If a file is itself called like a numbered copy of another one in the same
-    folder, whichever comes first keeps the name and the other moves on to its next number; see
-    ``resolve_layout``.
+    ``files`` has ``file_id, path, label``; files are placed in id order, the number goes before the
+    extension, and a number is passed over if its name is taken. A name is taken by the first
+    file that is itself called so, or by a numbered copy placed before that file; then the file is
+    numbered in turn. Names are settled from the plain ones to those with more suffixes, so a
+    folder without such clashes needs no round at all.
     """
     named = files.withColumn("name", C.basename(F.col("path")))
-    placed = rank_within(named, ["label", "name"], [F.col("file_id")], rank="_n")
+    ranked = settle(rank_within(named, ["label", "name"], [F.col("file_id")], rank="_n"))
+    groups = ranked.groupBy("label", "name").agg(F.min("file_id").alias("arrival"), F.count(F.lit(1)).alias("n"))
     stem, extension = name_parts(F.col("name"))
-    copy = F.concat(stem, F.lit("_"), (F.col("_n") - 1).cast("string"), extension)
-    return placed.select(
-        "file_id", "path", "label", F.when(F.col("_n") == 1, F.col("name")).otherwise(copy).alias("target")
+    suffix = r"^(.+)_([1-9][0-9]{0,17})$"
+    children = groups.select(
+        "label",
+        F.concat(F.regexp_extract(stem, suffix, 1), extension).alias("parent"),
+        F.regexp_extract(stem, suffix, 2).try_cast("bigint").alias("slot"),
+        F.col("name").alias("child"),
+        "arrival",
+    ).filter("slot IS NOT NULL")
+    # a numbered name matters if the folder has the plain name as well
+    children = settle(children.join(groups.select("label", F.col("name").alias("parent")), ["label", "parent"], "left_semi"))
+    nested = children.select("label", F.col("child").alias("name"))
+    level = groups.join(nested, ["label", "name"], "left_anti").select("label", "name", F.lit(False).alias("bumped"))
+    clashes = not children.isEmpty()
+    placed = None
+    while True:
+        rows = ranked.join(level, ["label", "name"]).withColumn("r", F.col("_n") - F.when(F.col("bumped"), 0).otherwise(1))
+        rows = settle(rows) if clashes else rows
+        taken = _taken_slots(rows, children.join(level, children.parent == level.name, "left_semi")) if clashes else None
+        if taken is not None:
+            rows = _shifted(rows, taken.filter("skipped"))
+        else:
+            rows = rows.withColumn("shift", F.lit(0))
+        copy = F.concat(stem, F.lit("_"), (F.col("r") + F.col("shift")).cast("string"), extension)
+        done = rows.select("file_id", "path", "label", F.when(F.col("r") == 0, F.col("name")).otherwise(copy).alias("target"))
+        placed = done if placed is None else placed.unionByName(done)
+        if not clashes:
+            return placed
+        below = children.join(level.select("label", F.col("name").alias("parent")), ["label", "parent"], "left_semi")
+        bumped = below.select("label", F.col("child").alias("name"))
+        if taken is not None:
+            hit = taken.filter("NOT skipped").select("label", F.col("child").alias("name"), F.lit(True).alias("bumped"))
+            bumped = bumped.join(hit, ["label", "name"], "left")
+        else:
+            bumped = bumped.withColumn("bumped", F.lit(False))
+        level = settle(bumped.select("label", "name", F.coalesce("bumped", F.lit(False)).alias("bumped")))
+        if level.isEmpty():
+            return placed
+
+
+def _taken_slots(rows: DataFrame, children: DataFrame) -> DataFrame | None:
+    """For each numbered name: was it passed over by the copies (``skipped``) or used by one of them?
+
+    ``q`` is the rank of the copy that would have come to the slot. Slots of a name are visited in
+    order, one round per slot that its copies can reach, for all names at once.
+    """
+    copies = rows.filter("r >= 1").select("label", F.col("name").alias("parent"), F.col("r").alias("q"), F.col("file_id").alias("at"))
+    counts = copies.groupBy("label", "parent").agg(F.count(F.lit(1)).alias("copies"))
+    slots = rank_within(children.join(counts, ["label", "parent"]), ["label", "parent"], [F.col("slot")], rank="j")
+    slots = settle(slots.filter(F.col("slot") - F.col("j") < F.col("copies")))
+    rounds = slots.agg(F.max("j").alias("j")).first().j
+    if rounds is None:
+        return None
+    visited = None
+    for j in range(1, rounds + 1):
+        now = slots.filter(F.col("j") == j)
+        if visited is None:
+            now = now.withColumn("s", F.lit(0))
+        else:
+            before = visited.groupBy("label", "parent").agg(F.count_if("skipped").alias("s"))
+            now = now.join(before, ["label", "parent"])
+        now = now.withColumn("q", F.col("slot") - F.col("s")).join(copies, ["label", "parent", "q"], "left")
+        now = now.select("label", "parent", "child", "q", (F.col("at").isNull() | (F.col("at") > F.col("arrival"))).alias("skipped"))
+        visited = store(now if visited is None else visited.unionByName(now))
+    return visited
+
+
+def _shifted(rows: DataFrame, skips: DataFrame) -> DataFrame:
+    """Add ``shift``: how many taken slots a copy passes over, as a running count in rank order."""
+    marks = skips.select(
+        "label", F.col("parent").alias("name"), F.col("q").alias("r"), F.lit(0).alias("kind"), F.lit(1).alias("inc"),
+        F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("path"),
     )
+    both = rows.select("label", "name", "r", F.lit(1).alias("kind"), F.lit(0).alias("inc"), "file_id", "path").unionByName(marks)
+    running = settle(running_totals(both, [F.col(c) for c in ("label", "name", "r", "kind", "file_id")], {"total": "inc"}, rank="_at"))
+    start = running.groupBy("label", "name").agg(F.min(F.col("total") - F.col("inc")).alias("start"))
+    return running.filter("kind = 1").join(start, ["label", "name"]).withColumn("shift", F.col("total") - F.col("start"))
 
 
 def name_parts(name: Column) -> tuple[Column, Column]:
