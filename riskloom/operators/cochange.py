@@ -9,8 +9,13 @@ CHUNK = 512
 
 
 def touches(changes: DataFrame) -> DataFrame:
-    """Distinct ``(commit, file_id)``."""
-    return changes.select("commit", "file_id").distinct()
+    """Distinct ``(commit, file_id)``; rows without one of them are no touch.
+
+    The filter is spelled out so that every branch that reads the result keeps the same plan up to
+    its shuffle, and the shuffle is run once and reused.
+    """
+    both = F.col("commit").isNotNull() & F.col("file_id").isNotNull()
+    return changes.select("commit", "file_id").filter(both).distinct()
 
 
 def cochange(touched: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -50,7 +50,7 @@ def cliffs_delta(pairs: DataFrame, keys: Sequence[str] = ("method",)) -> DataFra
     sample is paired with every value of the other.
     """
     keys = list(keys)
-    counts = (
+    counts = settle(
         pairs.filter("value IS NOT NULL")
         .groupBy(*keys, "value")
         .agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
@@ -61,7 +61,7 @@ def cliffs_delta(pairs: DataFrame, keys: Sequence[str] = ("method",)) -> DataFra
     )
     start = placed.groupBy(*keys).agg(F.min(F.col("run_b") - F.col("nb")).alias("start"))
     # b values below a value, minus b values above it
-    placed = placed.join(F.broadcast(start), keys).join(F.broadcast(totals), keys)
+    placed = placed.join(start, keys).join(totals, keys)
     below = F.col("run_b") - F.col("nb") - F.col("start")
     above = F.col("n") - (F.col("run_b") - F.col("start"))
     summed = placed.groupBy(*keys).agg(

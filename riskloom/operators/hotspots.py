@@ -95,13 +95,20 @@ def fixes(per_cluster: DataFrame) -> DataFrame:
 
 def fix_locality(changes: DataFrame, labels: DataFrame) -> DataFrame:
     """Per cluster: fixes that stay inside it; and overall ``bf_in`` and ``bf_out``."""
-    fixed = fixes(fix_clusters(changes, labels))
     inside = F.col("clusters") == 1
-    totals = fixed.agg(
-        F.count_if(inside).alias("bf_in"), F.count_if(~inside).alias("bf_out")
+    # the fixes that leave their cluster are the group without a label
+    counts = settle(
+        fixes(fix_clusters(changes, labels))
+        .groupBy(F.when(inside, F.col("label")).alias("label"))
+        .agg(F.count(F.lit(1)).alias("bf"))
     )
-    per_label = fixed.filter(inside).groupBy("label").agg(F.count(F.lit(1)).alias("bf"))
-    return per_label.withColumn("_t", scalar_struct(totals)).select("label", "bf", "_t.bf_in", "_t.bf_out")
+    stays = F.col("label").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    totals = counts.agg(
+        F.coalesce(F.sum(F.when(stays, F.col("bf"))), zero).alias("bf_in"),
+        F.coalesce(F.sum(F.when(~stays, F.col("bf"))), zero).alias("bf_out"),
+    )
+    return counts.filter(stays).withColumn("_t", scalar_struct(totals)).select("label", "bf", "_t.bf_in", "_t.bf_out")
 
 
 def churn_by_cluster(changes: DataFrame, labels: DataFrame) -> DataFrame:
