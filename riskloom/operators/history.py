@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import columns as C
+
 # Up to this many different issue-key heads are looked up by name.
 ANCHORED_HEADS = 200
 
@@ -67,11 +69,18 @@ def malformed_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count_if(bad).alias("malformed"), F.count(F.lit(1)).alias("blocks"))
 
 
-def changed_files(commits: DataFrame) -> DataFrame:
-    """One row per changed file: ``commit, pos, insertions, deletions, path``."""
-    return commits.select("commit", F.posexplode("paths").alias("pos", "p")).select(
+def changed_files(commits: DataFrame, java: str | None = None) -> DataFrame:
+    """One row per changed file: ``commit, pos, insertions, deletions, path``.
+
+    ``java="strict"`` keeps the java files that co-change is counted on, ``java="loose"`` those that
+    bug fixes are counted on; see the two filters in ``functions.columns``.
+    """
+    rows = commits.select("commit", F.posexplode("paths").alias("pos", "p")).select(
         "commit", "pos", "p.insertions", "p.deletions", "p.path"
     )
+    if java is None:
+        return rows
+    return rows.filter({"strict": C.is_java_strict, "loose": C.is_java_loose}[java](F.col("path")))
 
 
 def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast by hint only if a count taken beforehand is at most this.
@@ -51,6 +51,13 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``store`` with the number of rows, taken while writing."""
+    seen = Observation()
+    stored = store(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted ``rows`` are few; otherwise leave a shuffle join."""
     return F.broadcast(df) if rows <= limit else df
