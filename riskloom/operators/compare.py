@@ -138,7 +138,9 @@ def mq(edges: DataFrame) -> DataFrame:
 
 def first_smells(smells: DataFrame) -> DataFrame:
     """One row per smell, from the first cluster (then row) that lists it."""
-    first = smells.groupBy(*SMELL_KEY).agg(F.min(F.struct("cluster", "pos", "project")).alias("f"))
+    # repeats inside a cluster collapse by hash; the choice of the first cluster sorts what is left
+    once = smells.groupBy(*SMELL_KEY, "cluster", "project").agg(F.min("pos").alias("pos"))
+    first = once.groupBy(*SMELL_KEY).agg(F.min(F.struct("cluster", "pos", "project")).alias("f"))
     return first.select(*SMELL_KEY, "f.cluster", "f.project")
 
 

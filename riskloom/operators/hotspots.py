@@ -192,6 +192,12 @@ def risk_report(
     )
 
 
+def stored_top(results: DataFrame, project: str) -> DataFrame:
+    """Top clusters of a project from stored reports, ``label, rank``."""
+    listed = results.filter(F.col("project") == project).select(F.posexplode("top_buggy_cluster").alias("at", "label"))
+    return listed.select("label", (F.col("at") + 1).alias("rank"))
+
+
 def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame) -> DataFrame:
     """How the clusters chosen on one release hold the fixes of the next.
 

@@ -78,6 +78,14 @@ def select_clusters(tree: Dendrogram, compat_sign_flip: bool = True) -> DataFram
     return best.select(n.alias("files"), n.alias("iteration"), F.col("k").alias("f_optimal"), "score")
 
 
+def result_row(best: DataFrame, project: str, version: str, run_time: float) -> DataFrame:
+    """The row that a run appends to its result table."""
+    return best.select(
+        F.lit(project).alias("project"), F.lit(version).alias("version"), F.col("files").alias("file_sum"),
+        "iteration", "f_optimal", F.lit(float(run_time)).alias("run_time"),
+    )
+
+
 VECTORIZERS = ("c2v_tfidf", "c2v", "tfidf_lsa", "doc_embed")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import cochange, history, hotspots, paths
+from riskloom.operators import cochange, hierarchy, history, hotspots, paths
 from riskloom.plans import pipelines
 from riskloom.sources import scans
 
@@ -44,8 +44,9 @@ def test_log_to_reports(spark, tmp_path):
     loc = files.select("file_id", (10 + F.col("file_id")).alias("loc"))
     tree = pipelines.dendrogram(vectors, loc, touched)
     assert tree.merges.count() == 7
-    from riskloom.operators import hierarchy
-
+    best = pipelines.select_clusters(tree)
+    row = pipelines.result_row(best, "p", "1.0", 2.5)
+    assert row.columns == ["project", "version", "file_sum", "iteration", "f_optimal", "run_time"]
     labels = hierarchy.cut(tree.merges, tree.leaves, [2]).select("file_id", "label").cache()
     assert {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 4, 1: 4}
 
@@ -54,5 +55,7 @@ def test_log_to_reports(spark, tmp_path):
     assert {r.file_id: r.bugs for r in risk.space.collect()} == {0: 3, 1: 2}
     report = hotspots.risk_report(fixes, labels, loc, risk.ranked, risk.top).first()
     assert (report.bf_in, report.bf_out, report.top_buggy_cluster) == (2, 1, [0])
-    later = hotspots.next_release_report(resolved(history.release_diff(f2, f1), "loose"), labels, risk.top).first()
+    stored = spark.createDataFrame([("p", report.top_buggy_cluster)], "project STRING, top_buggy_cluster ARRAY<INT>")
+    top = hotspots.stored_top(stored, "p")
+    later = hotspots.next_release_report(resolved(history.release_diff(f2, f1), "loose"), labels, top).first()
     assert (later.bf_in, later.bf_out, later.bc_top) == (1, 1, 5 / 7)
