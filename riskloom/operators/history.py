@@ -55,7 +55,7 @@ def parse_blocks(blocks: DataFrame, strict_prefix: bool = False) -> DataFrame:
         F.col("commit")[0].alias("commit"),
         F.col("commiter")[0].alias("commiter"),
         # the trailing UTC offset (6 characters) is dropped, not applied
-        F.expr("to_timestamp_ntz(substring(date[0], 1, length(date[0]) - 6), \"yyyy-MM-dd'T'HH:mm:ss\")").alias("date"),
+        F.expr("try_cast(substring(date[0], 1, length(date[0]) - 6) AS TIMESTAMP_NTZ)").alias("date"),
         F.col("message")[0].alias("message"),
         change.alias("paths"),
     )

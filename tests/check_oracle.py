@@ -51,7 +51,8 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"rows {len(got)} != {len(want)}"
     got, want = normal(got), normal(want)
     for c in got.columns:
-        if got[c].dtype.kind != want[c].dtype.kind:
+        numeric = got[c].dtype.kind in "iufb" or want[c].dtype.kind in "iufb"
+        if numeric and got[c].dtype != want[c].dtype:
             return f"{c}: type {got[c].dtype} != {want[c].dtype}"
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
         if not same.all():

@@ -13,7 +13,7 @@ from riskloom.operators import history, paths
 from riskloom.sources import scans
 
 LOG = (
-    "commit-block:commit-hash:a1||message:ATLAS-1 fix||__unique-date-mark:2020-01-01T10:00:00+08:00||commiter:Bob||\n"
+    "commit-block:commit-hash:a1||message:PROJ-1 fix||__unique-date-mark:2020-01-01T10:00:00+08:00||commiter:Bob||\n"
     "\n"
     "1\t2\tsrc/A.java\n"
     "-\t-\tx/img.png\n"
@@ -33,7 +33,7 @@ def test_parse_log(spark, log_path):
     rows = {r.commit: r for r in history.parse_blocks(scans.read_log_blocks(spark, log_path)).collect()}
     assert sorted(rows) == ["a1", "a2"]
     a1 = rows["a1"]
-    assert (a1.commiter, a1.message) == ("Bob", "ATLAS-1 fix")
+    assert (a1.commiter, a1.message) == ("Bob", "PROJ-1 fix")
     assert a1.date == datetime.datetime(2020, 1, 1, 10)
     assert [tuple(p) for p in a1.paths] == [("1", "2", "src/A.java"), ("-", "-", "x/img.png")]
     assert rows["a2"].paths == []
@@ -49,8 +49,8 @@ def test_malformed_block_is_dropped_or_stops(spark, tmp_path):
     assert tuple(history.malformed_blocks(blocks).first()) == (1, 3)
 
 
-MESSAGES = ["ATLAS-12 fix", "atlas_123: x", "see ATLAS 7", "no key", "xATLAS-12", "HBASE-7 and ATLAS-7", "ATLAS-1", None, "ATLAS-12\nrest"]
-KEYS = ["ATLAS-12", "ATLAS-7", "HBASE-7", "ATLAS-12", "NONE-1"]
+MESSAGES = ["PROJ-12 fix", "proj_123: x", "see PROJ 7", "no key", "xPROJ-12", "HBASE-7 and PROJ-7", "PROJ-1", None, "PROJ-12\nrest"]
+KEYS = ["PROJ-12", "PROJ-7", "HBASE-7", "PROJ-12", "NONE-1"]
 
 
 @pytest.mark.parametrize("anchored", [200, 0])
@@ -65,7 +65,7 @@ def test_issue_matching_equals_regex(spark, monkeypatch, anchored):
     assert {(r.commit, r.issue_key) for r in history.issue_hits(commits, issues).collect()} == want
     assert {r.commit for r in history.match_issues(commits, issues).collect()} == {i for i, _ in want}
     exact = {(r.commit, r.issue_key) for r in history.issue_hits(commits, issues, exact=True).collect()}
-    assert exact == {(0, "ATLAS-12"), (2, "ATLAS-7"), (5, "ATLAS-7"), (5, "HBASE-7"), (8, "ATLAS-12")}
+    assert exact == {(0, "PROJ-12"), (2, "PROJ-7"), (5, "PROJ-7"), (5, "HBASE-7"), (8, "PROJ-12")}
     counts = history.issue_counts(commits, issues).first()
     # a repeated issue row counts again
     assert (counts.issues_matched, counts.fix_commits) == (4, len({i for i, _ in want}))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import cochange, hotspots, ordering, quality, scoring
+from riskloom.plans import pipelines
 
 # Scaled criteria and score of 23 clusters, in rank order.
 RANKED = [
@@ -155,3 +156,38 @@ def test_bug_concentration_by_hand(spark):
     after = hotspots.next_release_report(changes, labels, top).first()
     assert (after.bc_top, after.bc_all) == pytest.approx((6 / 26, 14 / 26))
     assert (after.bfr_top, after.bfr_all, after.bftop_in_bfin) == pytest.approx((2 / 5, 4 / 5, 2 / 4))
+
+
+def test_no_bugs_at_all(spark):
+    labels = spark.createDataFrame([(f, f // 2) for f in range(6)], "file_id BIGINT, label INT")
+    loc = spark.createDataFrame([(f, 10) for f in range(6)], "file_id BIGINT, loc BIGINT")
+    none = spark.createDataFrame([], "commit STRING, file_id BIGINT, churn BIGINT")
+    risk = pipelines.rank_risk(none, labels, loc)
+    assert risk.top.count() == 0
+    report = hotspots.risk_report(none, labels, loc, risk.ranked, risk.top).first()
+    assert (report.bf_in, report.bfr, report.top_buggy_cluster) == (0, None, [])
+
+
+def test_one_hot_file_and_one_hot_commit(spark):
+    """A third of all rows on one file and a third in one commit give the same answers as counting by hand."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 80), rng.randint(0, 30), rng.randint(0, 5)) for _ in range(300)]
+    rows += [(1000 + i, 7, 1) for i in range(300)] + [(999, i % 31, 2) for i in range(300)]
+    changes = spark.createDataFrame(rows, "commit BIGINT, file_id BIGINT, churn BIGINT").repartition(5)
+    labels = spark.createDataFrame([(f, f % 4) for f in range(31)], "file_id BIGINT, label INT")
+    bugs = collections.Counter(f for _, f, _ in rows)
+    assert {r.file_id: r.bugs for r in hotspots.bug_space(changes, labels).collect()} == {f: n for f, n in bugs.items() if n >= 2}
+    clusters = collections.defaultdict(set)
+    for c, f, _ in rows:
+        clusters[c].add(f % 4)
+    inside = collections.Counter(next(iter(s)) for s in clusters.values() if len(s) == 1)
+    out = sum(len(s) > 1 for s in clusters.values())
+    got = hotspots.fix_locality(changes, labels).collect()
+    assert {r.label: r.bf for r in got} == dict(inside)
+    assert {(r.bf_in, r.bf_out) for r in got} == {(sum(inside.values()), out)}
+    touched = cochange.touches(changes)
+    files = collections.defaultdict(set)
+    for c, f, _ in rows:
+        files[c].add(f)
+    want = collections.Counter(p for s in files.values() for p in itertools.combinations(sorted(s), 2))
+    assert {(r.a, r.b): r.w for r in cochange.cochange(touched, chunk=8).collect()} == dict(want)
