@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,19 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stored tables, which every executor can reach.
+
+    It is the one of ``spark.checkpoint.dir``. Where that is unset, a folder below the warehouse
+    is set, by Hadoop's path rules and thus in the store the warehouse is in.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-checkpoints-"))
-    else:
-        raise ValueError(
-            "set spark.checkpoint.dir to a folder that every executor can reach"
-        )
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -34,7 +31,7 @@ def settle(df: DataFrame) -> DataFrame:
     that a lost executor restarts from the shared folder and no branch repeats the
     work upstream.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -45,8 +42,7 @@ def store(df: DataFrame) -> DataFrame:
     from, which would otherwise pile up round after round in the optimizer.
     """
     spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
