@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality_rules, url_filters
+from riskloom.llm import quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.rejects(quality_rules.BASE).alias("base_failed"),
         (~quality_rules.rejects(quality_rules.POLICIES[quality_rules.CURRENT])).alias("kept"),
     )
+
+
+@query
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
