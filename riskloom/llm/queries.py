@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality_rules, simhash, url_filters
+from riskloom.llm import quality_classifier, quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    out = quality_classifier.held_out(F.col("doc_id"))
+    model = quality_classifier.train(docs.filter(~out), labels.filter(~out))
+    scored = quality_classifier.score(docs, model)
+    keep = F.col("score") >= quality_classifier.THRESHOLD
+    return scored.select("doc_id", out.alias("held_out"), "score", keep.cast("int").alias("predicted"))
