@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality_classifier, quality_rules, simhash, url_filters
+from riskloom.llm import language, quality_classifier, quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score(docs, model)
     keep = F.col("score") >= quality_classifier.THRESHOLD
     return scored.select("doc_id", out.alias("held_out"), "score", keep.cast("int").alias("predicted"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.filter(~out))
+    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
