@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, quality_classifier, quality_rules, simhash, url_filters
+from riskloom.llm import language, packing, quality_classifier, quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.held_out(F.col("doc_id"))
     model = language.train(docs.filter(~out))
     return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
