@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, packing, quality_classifier, quality_rules, simhash, url_filters
+from riskloom.llm import embedding_dedup, language, packing, quality_classifier, quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return found.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
