@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import embedding_dedup, language, packing, quality_classifier, quality_rules, simhash, url_filters
+from riskloom.llm import embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, url_filters
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
     return found.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded, and decoded again."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, path), path)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
