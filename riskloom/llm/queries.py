@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, url_filters
+from riskloom.llm import (
+    embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, url_filters,
+)
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +90,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     back = pieces.decode(pieces.encode(docs, path), path)
     return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.deduplicate(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
