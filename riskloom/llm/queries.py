@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, url_filters,
+    embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, url_filters,
 )
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -96,3 +96,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.deduplicate(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
