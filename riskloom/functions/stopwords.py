@@ -18,5 +18,3 @@ ENGLISH = (
     "mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't "
     "won won't wouldn wouldn't"
 ).split()
-
-PUNCTUATION = [",", ".", ":", ";", "?", "(", ")", "[", "]", "&", "!", "*", "@", "#", "$", "%", '"', "//*", "*//"]

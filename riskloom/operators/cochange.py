@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.runtime import store
+
 CHUNK = 512
 
 
@@ -24,9 +26,10 @@ def cochange(touched: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``touched`` is distinct. The rows of the answer are pairs, so pairs have to be formed; a
     commit is cut by a hash of the file into chunks of about ``chunk`` files and each pair of
     chunks is a group of its own. The largest unit of work is then ``chunk`` x ``chunk``
-    whatever the commit, and repeated pairs collapse before the shuffle of the counts.
+    whatever the commit, and repeated pairs collapse before the shuffle of the counts. Sizes are stored
+    before they are joined back, so that Spark can split a commit with many of the files.
     """
-    sizes = touched.groupBy("commit").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    sizes = store(touched.groupBy("commit").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"))
     chunks = F.ceil(F.col("_m") / chunk).cast("int")
     placed = touched.join(sizes, "commit").select(
         "commit",
@@ -66,7 +69,7 @@ def cochange_degree(touched: DataFrame) -> DataFrame:
 
     A file gains the number of other files of every commit that touches it.
     """
-    sizes = touched.groupBy("commit").agg((F.count(F.lit(1)) - 1).alias("_others")).filter("_others > 0")
+    sizes = store(touched.groupBy("commit").agg((F.count(F.lit(1)) - 1).alias("_others")).filter("_others > 0"))
     return (
         touched.join(sizes, "commit").groupBy("file_id").agg(F.sum("_others").alias("degree"))
     )

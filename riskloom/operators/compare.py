@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import columns as C
 from riskloom.operators.matching import matching_size
 from riskloom.operators.ordering import rank_within, running_totals
-from riskloom.runtime import scalar_struct, settle, store
+from riskloom.runtime import scalar_struct, settle, small_side, store, store_counted
 
 SMELL_KEY = ["cause", "type", "package", "smell"]
 
@@ -29,7 +29,7 @@ def metric_gather(data: DataFrame, projects: DataFrame, metric: str) -> DataFram
 
 def metric_pivot(metrics: DataFrame, methods: Sequence[str], scale: float = 1.0, decimals: int | None = 2) -> DataFrame:
     """``project, method, value`` -> one column per method, an ``Average`` row, rounded values."""
-    table = metrics.groupBy("project").pivot("method", list(methods)).agg(F.first(F.col("value") * scale, ignorenulls=True))
+    table = metrics.groupBy("project").pivot("method", list(methods)).agg(F.max(F.col("value") * scale))
     table = with_average(table, methods)
     if decimals is None:
         return table
@@ -55,13 +55,13 @@ def cliffs_delta(pairs: DataFrame, keys: Sequence[str] = ("method",)) -> DataFra
         .groupBy(*keys, "value")
         .agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
     )
-    totals = counts.groupBy(*keys).agg(F.sum("na").alias("m"), F.sum("nb").alias("n"))
+    totals, n_keys = store_counted(counts.groupBy(*keys).agg(F.sum("na").alias("m"), F.sum("nb").alias("n")))
     placed = settle(
         running_totals(counts, [*[F.col(k) for k in keys], F.col("value")], {"run_a": "na", "run_b": "nb"})
     )
     start = placed.groupBy(*keys).agg(F.min(F.col("run_b") - F.col("nb")).alias("start"))
     # b values below a value, minus b values above it
-    placed = placed.join(start, keys).join(totals, keys)
+    placed = placed.join(small_side(store(start), n_keys), keys).join(small_side(totals, n_keys), keys)
     below = F.col("run_b") - F.col("nb") - F.col("start")
     above = F.col("n") - (F.col("run_b") - F.col("start"))
     summed = placed.groupBy(*keys).agg(

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
+from riskloom.runtime import store
 
-# Up to this many different issue-key heads are looked up by name.
-ANCHORED_HEADS = 200
-
-# The field markers of the log format. A field may hold no line break.
+# The field markers of the log format. A field may hold no line feed; (?d) lets it hold other line ends.
 _FIELDS = {
-    "commit": r"commit-hash:(.*)\|\|message",
-    "message": r"message:(.*)\|\|__unique-date-mark",
-    "date": r"__unique-date-mark:(.*)\|\|commiter",
-    "commiter": r"commiter:(.*)\|\|",
+    "commit": r"(?d)commit-hash:(.*)\|\|message",
+    "message": r"(?d)message:(.*)\|\|__unique-date-mark",
+    "date": r"(?d)__unique-date-mark:(.*)\|\|commiter",
+    "commiter": r"(?d)commiter:(.*)\|\|",
 }
 
 
@@ -90,9 +88,8 @@ def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> Da
     character and ``12`` in a row; a longer number with the same start matches too. With
     ``exact`` the named key must not continue in letters or digits on either side.
 
-    A message yields the places where a head occurs, or with very many different heads all
-    windows as long as a head, and each place yields one candidate per tail length in use. The
-    candidates meet the keys in an equi-join, so no message is compared with every key.
+    A message yields all windows that are as long as a head and are one; each yields one candidate per
+    tail length in use. The candidates meet the keys in an equi-join, so no message is compared with every key.
     """
     parts = F.split(F.lower("issue_key"), "-")
     keys = (
@@ -101,25 +98,23 @@ def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> Da
         .select("issue_key", parts[0].alias("head"), F.get(parts, F.lit(1)).alias("tail"))
         .filter(F.col("tail").isNotNull())
     )
-    heads = keys.select("head").distinct().limit(ANCHORED_HEADS + 1).count()
-    if heads <= ANCHORED_HEADS:
-        group, start = F.col("head"), F.concat(F.lit("\\Q"), "head", F.lit("\\E"))
-    else:
-        group = F.length("head")
-        start = F.concat(F.lit(".{"), F.length("head").cast("string"), F.lit("}"))
-    anchors = keys.groupBy(group.alias("g"), start.alias("start"), F.length("head").alias("h")).agg(
-        F.collect_set(F.length("tail")).alias("tails"), F.max(F.length("tail")).alias("longest")
+    heads = store(
+        keys.groupBy("head").agg(F.collect_set(F.length("tail")).alias("tails"), F.max(F.length("tail")).alias("longest"))
     )
-    # at most ANCHORED_HEADS entries, or one per length of a head
-    anchors = anchors.agg(F.collect_list(F.struct("start", "h", "tails", "longest")).alias("a")).scalar()
+    # one entry per length of a head
+    lengths = heads.groupBy(F.length("head").alias("h")).agg(F.max("longest").alias("longest"))
+    lengths = lengths.agg(F.collect_list(F.struct("h", "longest")).alias("a")).scalar()
     # one blank before and enough behind, so that every window shows its two neighbours
-    text = F.concat(F.lit(" "), F.lower("message"), F.repeat(F.lit(" "), F.col("a.longest") + 1))
-    overlapping = F.concat(F.lit("(?s)(?=(."), F.col("a.start"), F.lit(".{"), (F.col("a.longest") + 2).cast("string"), F.lit("}))"))
+    text = F.concat(F.lit(" "), F.lower("message"), F.repeat(F.lit(" "), F.col("l.longest") + 1))
+    places = F.sequence(F.lit(1), F.greatest(F.length("message") - F.col("l.h") + 1, F.lit(1)))
     windows = (
         commits.filter(F.col("message").isNotNull())
-        .select("commit", "message", anchors.alias("anchors"))
-        .select("commit", "message", F.explode("anchors").alias("a"))
-        .select("commit", "a.h", "a.tails", F.explode(F.regexp_extract_all(text, overlapping, 1)).alias("window"))
+        .select("commit", "message", lengths.alias("lengths"))
+        .select("commit", "message", F.explode("lengths").alias("l"))
+        .select("commit", "l.h", "l.longest", text.alias("text"), F.explode(places).alias("p"))
+        .select("commit", "h", F.substring("text", F.col("p"), F.col("h") + F.col("longest") + 3).alias("window"))
+        .withColumn("head", F.substring("window", F.lit(2), F.col("h")))
+        .join(heads.select("head", "tails"), "head")
         .select("commit", "h", "window", F.explode("tails").alias("t"))
     )
     head = F.substring(F.col("window"), F.lit(2), F.col("h"))

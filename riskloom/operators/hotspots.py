@@ -128,11 +128,11 @@ def _top_list(top: DataFrame):
 
 
 def risk_report(
-    changes: DataFrame, labels: DataFrame, loc: DataFrame, decision: DataFrame, top: DataFrame
+    changes: DataFrame, labels: DataFrame, loc: DataFrame, decision: DataFrame, top: DataFrame, project: str
 ) -> DataFrame:
     """One row that says how much of the files, lines, churn and fixes the top clusters hold.
 
-    ``decision`` holds the scaled criteria and ``top`` is the result of ``top_clusters``.
+    ``decision`` holds the criteria as counted, not scaled, and ``top`` is the result of ``top_clusters``.
     """
     per_cluster = settle(fix_clusters(changes, labels))
     fixed = fixes(per_cluster)
@@ -170,6 +170,7 @@ def risk_report(
     row = sums.withColumn("_f", scalar_struct(fix_totals)).withColumn("top_buggy_cluster", listed)
     all_fixes = F.col("_f.bf_in") + F.col("_f.bf_out")
     return row.select(
+        F.lit(project).alias("project"),
         "cluster_sum",
         "file_bs",
         "file_sum",
@@ -198,7 +199,7 @@ def stored_top(results: DataFrame, project: str) -> DataFrame:
     return listed.select("label", (F.col("at") + 1).alias("rank"))
 
 
-def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame) -> DataFrame:
+def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame, project: str) -> DataFrame:
     """How the clusters chosen on one release hold the fixes of the next.
 
     Churn is credited to a cluster only by fixes that stay inside it; the total counts all fixes.
@@ -222,6 +223,7 @@ def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame) -
     ).scalar()
     all_fixes = F.col("bf_in") + F.col("bf_out")
     return sums.withColumn("_s", sizes).select(
+        F.lit(project).alias("project"),
         F.col("_s.clusters").alias("cluster_sum"),
         F.col("_s.files").alias("file_sum"),
         "bf_in",

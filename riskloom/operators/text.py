@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions import columns as C
-from riskloom.functions.stopwords import ENGLISH, PUNCTUATION
+from riskloom.functions.stopwords import ENGLISH
 from riskloom.operators.ordering import running_totals
-from riskloom.runtime import settle
+from riskloom.runtime import settle, store
 
-GRAM_FILES = 4000
 CELLS_PER_PARTITION = 1_000_000
 KEPT_TYPES = ["Comment", "Identifier"]
 
@@ -37,12 +35,11 @@ def clean_words(
     """Cleaned words of a text as an array.
 
     Letters only, stop words out (compared before lower-casing, so ``The`` stays), words of two
-    letters or more, in lower case. The punctuation filter has nothing left to do after
-    the letters-only step and is kept for the record. ``split_identifiers`` cuts the words at
-    case boundaries afterwards.
+    letters or more, in lower case. ``split_identifiers`` cuts the words at case boundaries
+    before they are lower-cased.
     """
     words = F.split(F.trim(F.regexp_replace(text, "[^a-zA-Z]+", " ")), " ")
-    words = F.filter(words, lambda w: ~w.isin([*PUNCTUATION, *stop_words]) & (F.length(w) > 1))
+    words = F.filter(words, lambda w: ~w.isin(list(stop_words)) & (F.length(w) > 1))
     if split_identifiers:
         words = F.flatten(F.transform(words, C.split_identifier))
     return F.transform(words, F.lower)
@@ -85,7 +82,8 @@ def doc_vectors(
     without known words gets a zero vector and ``known = 0``.
 
     The weights are folded into the word vectors, so that the long table takes part in one join
-    only; the sums are ``dim`` plain aggregates with partial sums before the shuffle.
+    only; the sums are ``dim`` plain aggregates with partial sums before the shuffle. They are stored
+    before that join, whose sides are then plain shuffles, so that Spark can split a word of most files.
     """
     scaled = vectors.select(F.col("token").alias("word"), "vec")
     if weights is not None:
@@ -95,6 +93,7 @@ def doc_vectors(
             .withColumn("weight", F.coalesce("idf", default))
             .select("word", F.transform("vec", lambda v: v * F.col("weight")).alias("vec"))
         )
+    scaled = store(scaled)
     sums = (
         tf.join(scaled, "word")
         .groupBy("file_id")
@@ -121,9 +120,10 @@ def tfidf_l2(tf: DataFrame, n_files: Column) -> DataFrame:
     """Smoothed tf-idf, ``ln((1+N)/(1+df)) + 1``, with unit length per file; long form.
 
     The window of the norm holds the distinct words of one file, which is never more than the
-    single row its text came in.
+    single row its text came in. The document counts are stored before they are joined back, so that Spark can
+    split a word of most files.
     """
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = store(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     weight = F.col("tf") * (F.ln((1 + n_files) / (1 + F.col("df"))) + 1)
     weighted = tf.join(df, "word").select("file_id", "word", weight.alias("weight"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("file_id")))
@@ -133,8 +133,9 @@ def tfidf_l2(tf: DataFrame, n_files: Column) -> DataFrame:
 def lsa(weights: DataFrame, components: int = 100, decimals: int = 2) -> DataFrame:
     """Truncated SVD of a long (file, word, weight) matrix: ``file_id, vec`` with U*S rounded.
 
-    The matrix is not centred. Signs of the components are arbitrary. The solver runs one small job per
-    Lanczos step, so the rows are cached in partitions that are as few as their size allows.
+    The matrix is not centred. Signs of the components are arbitrary. One solver serves all sizes: it runs a
+    small job per Lanczos step, so the rows are cached in partitions that are as few as their size allows, and
+    keeps vectors as long as the vocabulary at the driver.
     """
     from pyspark.mllib.linalg import Vectors, VectorUDT
     from pyspark.mllib.linalg.distributed import IndexedRowMatrix
@@ -142,38 +143,25 @@ def lsa(weights: DataFrame, components: int = 100, decimals: int = 2) -> DataFra
     spark = weights.sparkSession
     weights = settle(weights)
     terms = running_totals(weights.select("word").distinct(), [F.col("word")], rank="term")
-    files = running_totals(weights.select("file_id").distinct(), [F.col("file_id")], rank="file")
-    n_terms, n_files = terms.count(), files.count()
+    n_terms, n_files = terms.count(), weights.select("file_id").distinct().count()
     k = min(components, n_terms, n_files)
-    indexed = weights.join(terms, "word").join(files, "file_id")
-    # few files: their products with each other fit a small matrix, found in one job; its leading
-    # eigenvectors times the roots of the eigenvalues are U*S
-    sideways = n_files <= GRAM_FILES and n_files < n_terms
-    row, col, width = ("term", "file", n_files) if sideways else ("file", "term", n_terms)
-    sparse = F.udf(lambda cells: Vectors.sparse(width, [c.i for c in cells], [c.weight for c in cells]), VectorUDT())
-    cell = F.struct((F.col(col) - 1).cast("int").alias("i"), "weight")
+    indexed = weights.join(terms, "word")
+    sparse = F.udf(lambda cells: Vectors.sparse(n_terms, [c.i for c in cells], [c.weight for c in cells]), VectorUDT())
+    cell = F.struct((F.col("term") - 1).cast("int").alias("i"), "weight")
     rows = (
-        indexed.groupBy(row if sideways else "file_id")
+        indexed.groupBy("file_id")
         .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        .select(F.col(row if sideways else "file_id"), sparse("cells").alias("row"))
+        .select("file_id", sparse("cells").alias("row"))
         .repartition(max(4, math.ceil(weights.count() / CELLS_PER_PARTITION)))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     matrix = IndexedRowMatrix(rows)
-    if sideways:
-        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())  # at most GRAM_FILES wide
-        local = vectors[:, ::-1][:, :k] * np.sqrt(np.clip(values[::-1][:k], 0, None))
-        by_rank = spark.createDataFrame(
-            [(i + 1, [float(x) for x in v]) for i, v in enumerate(local.round(decimals))], "file BIGINT, vec ARRAY<DOUBLE>"
-        )
-        result = files.join(F.broadcast(by_rank), "file").select("file_id", "vec")
-    else:
-        svd = matrix.computeSVD(k, computeU=True)
-        strengths = [float(x) for x in svd.s]
-        result = spark.createDataFrame(
-            svd.U.rows.map(lambda r: (r.index, [round(float(u) * s, decimals) for u, s in zip(r.vector, strengths)])),
-            "file_id BIGINT, vec ARRAY<DOUBLE>",
-        )
+    svd = matrix.computeSVD(k, computeU=True)
+    strengths = [float(x) for x in svd.s]
+    result = spark.createDataFrame(
+        svd.U.rows.map(lambda r: (r.index, [round(float(u) * s, decimals) for u, s in zip(r.vector, strengths)])),
+        "file_id BIGINT, vec ARRAY<DOUBLE>",
+    )
     result = settle(result)
     rows.unpersist()
     return result
@@ -181,15 +169,18 @@ def lsa(weights: DataFrame, components: int = 100, decimals: int = 2) -> DataFra
 
 def doc_embed(
     texts: DataFrame, id_col: str, words: Column, size: int = 100, min_count: int = 2, seed: int = 100,
-    partitions: int | None = None,
+    partitions: int = 4, iterations: int = 3,
 ) -> DataFrame:
-    """Document vectors as the average of word vectors trained on the same documents."""
+    """Document vectors as the average of word vectors trained on the same documents.
+
+    ``partitions`` parts of the corpus are trained apart and averaged after each of ``iterations`` passes; neither depends
+    on the machine.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     corpus = texts.select(F.col(id_col).alias("file_id"), words.alias("words"))
-    n = partitions or texts.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
-        vectorSize=size, minCount=min_count, seed=seed, numPartitions=n, maxIter=1, inputCol="words", outputCol="v"
+        vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=iterations, inputCol="words", outputCol="v"
     ).fit(corpus)
     return model.transform(corpus).select("file_id", vector_to_array("v").alias("vec"))

@@ -10,6 +10,28 @@ from riskloom.functions.stopwords import ENGLISH
 
 _STOPS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
 
+def _base(labels: str) -> str:
+    """Counts per cluster of a label table."""
+    return f"""SELECT g.k, g.label,
+        CAST(coalesce(i.w, 0) AS BIGINT) AS in_change,
+        CAST(g.all_change - 2 * coalesce(i.w, 0) AS BIGINT) AS out_change,
+        g.in_file, (SELECT count(*) FROM files) - g.in_file AS out_file,
+        CAST(g.in_loc AS BIGINT) AS in_loc, CAST((SELECT sum(loc) FROM files) - g.in_loc AS BIGINT) AS out_loc
+        FROM (SELECT l.k, l.label, count(*) AS in_file, sum(f.loc) AS in_loc, coalesce(sum(d.degree), 0) AS all_change
+              FROM {labels} l JOIN files f USING (file_id) LEFT JOIN degree d USING (file_id) GROUP BY 1, 2) g
+        LEFT JOIN (SELECT la.k, la.label, sum(e.w) AS w FROM edges e JOIN {labels} la ON la.file_id = e.a
+              JOIN {labels} lb ON lb.file_id = e.b AND lb.k = la.k AND lb.label = la.label GROUP BY 1, 2) i
+        ON i.k = g.k AND i.label = g.label"""
+
+
+def _rates(base: str) -> str:
+    return f"""SELECT *, in_change / (in_file * in_file) AS in_change_file_r,
+        CASE WHEN in_file * out_file <> 0 THEN out_change / (in_file * out_file) END AS out_change_file_r,
+        CASE WHEN in_loc <> 0 THEN in_change / (CAST(in_loc AS DOUBLE) * in_loc) ELSE in_change END AS in_change_loc_r,
+        CASE WHEN in_loc * out_loc <> 0 THEN out_change / (CAST(in_loc AS DOUBLE) * out_loc) ELSE out_change END AS out_change_loc_r
+        FROM {base}"""
+
+
 # name -> (names it needs, body); kept in dependency order
 _CTES: dict[str, tuple[str, str]] = {
     "files": ("", """SELECT p_partkey AS file_id,
@@ -17,8 +39,7 @@ _CTES: dict[str, tuple[str, str]] = {
         CAST(p_size AS BIGINT) AS loc FROM part"""),
     "commits": ("", """SELECT o_orderkey AS "commit", o_custkey AS commiter, o_orderdate AS date,
         'Fix ' || o_orderpriority || ' for Customer#' || o_custkey AS message FROM orders"""),
-    "issues": ("", """SELECT 'customer-' || c_custkey AS issue_key FROM customer
-        WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0"""),
+    "issues": ("", """SELECT 'customer-' || c_custkey AS issue_key FROM customer"""),
     "changes": ("", """SELECT l_orderkey AS "commit", l_linenumber AS pos,
         CAST(l_quantity AS BIGINT) + CAST(round(l_discount * 100) AS BIGINT) AS churn, l_partkey AS file_id FROM lineitem"""),
     "touches": ("changes", """SELECT DISTINCT "commit", file_id FROM changes"""),
@@ -37,21 +58,8 @@ _CTES: dict[str, tuple[str, str]] = {
         ON x."commit" = y."commit" AND x.file_id < y.file_id GROUP BY 1, 2"""),
     "degree": ("edges", """SELECT file_id, CAST(sum(w) AS BIGINT) AS degree FROM
         (SELECT a AS file_id, w FROM edges UNION ALL SELECT b, w FROM edges) GROUP BY 1"""),
-    "base": ("files labels_k edges degree", """SELECT g.k, g.label,
-        CAST(coalesce(i.w, 0) AS BIGINT) AS in_change,
-        CAST(g.all_change - 2 * coalesce(i.w, 0) AS BIGINT) AS out_change,
-        g.in_file, (SELECT count(*) FROM files) - g.in_file AS out_file,
-        CAST(g.in_loc AS BIGINT) AS in_loc, CAST((SELECT sum(loc) FROM files) - g.in_loc AS BIGINT) AS out_loc
-        FROM (SELECT l.k, l.label, count(*) AS in_file, sum(f.loc) AS in_loc, coalesce(sum(d.degree), 0) AS all_change
-              FROM labels_k l JOIN files f USING (file_id) LEFT JOIN degree d USING (file_id) GROUP BY 1, 2) g
-        LEFT JOIN (SELECT la.k, la.label, sum(e.w) AS w FROM edges e JOIN labels_k la ON la.file_id = e.a
-              JOIN labels_k lb ON lb.file_id = e.b AND lb.k = la.k AND lb.label = la.label GROUP BY 1, 2) i
-        ON i.k = g.k AND i.label = g.label"""),
-    "clusters": ("base", """SELECT *, in_change / (in_file * in_file) AS in_change_file_r,
-        CASE WHEN in_file * out_file <> 0 THEN out_change / (in_file * out_file) END AS out_change_file_r,
-        CASE WHEN in_loc <> 0 THEN in_change / (CAST(in_loc AS DOUBLE) * in_loc) ELSE in_change END AS in_change_loc_r,
-        CASE WHEN in_loc * out_loc <> 0 THEN out_change / (CAST(in_loc AS DOUBLE) * out_loc) ELSE out_change END AS out_change_loc_r
-        FROM base"""),
+    "base": ("files labels_k edges degree", _base("labels_k")),
+    "clusters": ("base", _rates("base")),
     "ned_k": ("labels_k", """SELECT k, CAST(sum(CASE WHEN n BETWEEN 5 AND 20 THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS ned
         FROM (SELECT k, label, count(*) AS n FROM labels_k GROUP BY 1, 2) GROUP BY 1"""),
     "criteria": ("clusters ned_k", """SELECT k, i AS in_change_file_r, o AS out_change_file_r, il AS in_change_loc_r, ol AS out_change_loc_r,
@@ -117,10 +125,15 @@ _CTES.update({
     "words": ("", f"""SELECT doc_id, list_transform(list_filter(
         string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' '),
         lambda x: NOT list_contains({_STOPS}, x) AND length(x) > 1), lambda x: lower(x)) AS ws FROM documents"""),
-    "tf": ("words", "SELECT doc_id AS file_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM words) GROUP BY 1, 2"),
+    "parted": ("", f"""SELECT doc_id, list_transform(flatten(list_transform(list_filter(
+        string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' '),
+        lambda x: NOT list_contains({_STOPS}, x) AND length(x) > 1),
+        lambda x: string_split(regexp_replace(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), ' '))),
+        lambda x: lower(x)) AS ws FROM documents"""),
+    "tf": ("parted", "SELECT doc_id AS file_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM parted) GROUP BY 1, 2"),
     "idfs": ("tf", "SELECT word, count(*) AS df, ln((SELECT count(*) FROM documents) / (1.0::DOUBLE + count(*))) AS idf FROM tf GROUP BY 1"),
     "tokvec": ("idfs", """SELECT i.word, i.idf, e.embedding FROM idfs i JOIN embeddings e
-        ON e.vec_id = ('0x' || substr(md5(i.word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) WHERE i.df >= 2"""),
+        ON e.vec_id = ('0x' || substr(md5(i.word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) WHERE substr(md5(i.word), 9, 1) <> '0'"""),
     "vecdims": ("tokvec", "SELECT word, idf, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v FROM tokvec"),
     "known": ("tf tokvec", "SELECT file_id, CAST(sum(tf) AS BIGINT) AS known FROM tf JOIN tokvec USING (word) GROUP BY 1"),
     "metric": ("", """SELECT n_name AS project, c_mktsegment AS method, avg(c_acctbal) AS value
@@ -168,7 +181,8 @@ def sql(needs: str, body: str) -> str:
         if name in wanted:
             place(name)
     head = ",\n".join(f"{name} AS ({_CTES[name][1]})" for name in done)
-    return f"WITH {head}\n{body}" if head else body
+    recursive = "RECURSIVE " if "tree" in done else ""
+    return f"WITH {recursive}{head}\n{body}" if head else body
 
 
 def _rounded(columns: list[str], decimals: int) -> str:
@@ -206,7 +220,7 @@ ORACLE: dict[str, str] = {
                 row_number() OVER (PARTITION BY label, p_name ORDER BY file_id) - 1 AS rn
          FROM labels JOIN part ON p_partkey = file_id)"""),
     "log_parse": sql("commits files", """SELECT l_orderkey || '-' || l_linenumber AS "commit", 'c' || commiter AS commiter,
-        strftime(date, '%Y-%m-%d %H:%M:%S') AS date, message, s.insertions, s.deletions, s.path
+        strftime(date, '%Y-%m-%d %H:%M:%S') AS date, message || ' a' || chr(13) || 'b' || chr(133) || 'c' || chr(8232) || 'd' AS message, s.insertions, s.deletions, s.path
         FROM (SELECT l.*, c.*, unnest([{'insertions': CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'deletions': '0', 'path': f.path},
                                        {'insertions': '-', 'deletions': '-', 'path': 'docs/logo.png'}]) AS s
               FROM lineitem l JOIN commits c ON c."commit" = l_orderkey JOIN files f ON f.file_id = l_partkey)"""),
@@ -295,8 +309,8 @@ ORACLE: dict[str, str] = {
     "fix_locality": sql("perfix", """SELECT label, count(*) AS bf, (SELECT count(*) FROM perfix WHERE clusters = 1) AS bf_in,
         (SELECT count(*) FROM perfix WHERE clusters > 1) AS bf_out FROM perfix WHERE clusters = 1 GROUP BY 1"""),
     "churn_by_cluster": sql("percl", "SELECT label, CAST(sum(churn) AS BIGINT) AS churn FROM percl GROUP BY 1"),
-    "risk_report": sql("top_v1 bscaled_v1 perfix_v1 percl_v1 labels files", """
-        SELECT cluster_sum, file_bs, file_sum, round(file_bs / file_sum, 8) AS file_bs_share, bf_in, bf_out,
+    "risk_report": sql("top_v1 decision_v1 perfix_v1 percl_v1 labels files", """
+        SELECT 'parts' AS project, cluster_sum, file_bs, file_sum, round(file_bs / file_sum, 8) AS file_bs_share, bf_in, bf_out,
           round(file_top / file_sum, 8) AS fr, round(loc_top / loc_sum, 8) AS loc, round(bc_top / bc_sum, 8) AS bc,
           round(bf_top / (bf_in + bf_out), 8) AS bfr, round(dens_file, 8) AS bug_density_file_average,
           round(dens_loc, 8) AS bug_density_loc_average, round(bf_top / file_top, 8) AS density_bf_file,
@@ -312,12 +326,12 @@ ORACLE: dict[str, str] = {
           (SELECT CAST(sum(churn) AS BIGINT) FROM percl_v1 WHERE label IN (SELECT label FROM top_v1)) AS bc_top,
           (SELECT CAST(sum(churn) AS BIGINT) FROM percl_v1) AS bc_sum,
           (SELECT count(*) FROM perfix_v1 WHERE clusters = 1 AND label IN (SELECT label FROM top_v1)) AS bf_top,
-          (SELECT avg(bug_density_file) FROM bscaled_v1 WHERE label IN (SELECT label FROM top_v1)) AS dens_file,
-          (SELECT avg(bug_density_loc) FROM bscaled_v1 WHERE label IN (SELECT label FROM top_v1)) AS dens_loc,
+          (SELECT avg(bug_density_file) FROM decision_v1 WHERE label IN (SELECT label FROM top_v1)) AS dens_file,
+          (SELECT avg(bug_density_loc) FROM decision_v1 WHERE label IN (SELECT label FROM top_v1)) AS dens_loc,
           (SELECT max(threshold) FROM top_v1) AS threshold, (SELECT max(running) FROM top_v1) AS reached,
           (SELECT string_agg(CAST(label AS VARCHAR), ',' ORDER BY "rank") FROM top_v1) AS top_buggy_cluster)"""),
     "next_release_report": sql("top_v1 perfix_next labels", """
-        SELECT cluster_sum, file_sum, bf_in, bf_out, round(bc_in_top / bc, 8) AS bc_top, round(bc_in / bc, 8) AS bc_all,
+        SELECT 'parts' AS project, cluster_sum, file_sum, bf_in, bf_out, round(bc_in_top / bc, 8) AS bc_top, round(bc_in / bc, 8) AS bc_all,
           round(bf_top / (bf_in + bf_out), 8) AS bfr_top, round(bf_in / (bf_in + bf_out), 8) AS bfr_all, round(bf_top / bf_in, 8) AS bftop_in_bfin
         FROM (SELECT (SELECT max(label) + 1 FROM labels) AS cluster_sum, (SELECT count(*) FROM labels) AS file_sum,
           count(*) FILTER (clusters = 1) AS bf_in, count(*) FILTER (clusters > 1) AS bf_out,
@@ -372,9 +386,57 @@ _CTES["placed"] = ("sides", """SELECT method, side, count(*) FILTER (side = 'b')
     count(*) FILTER (side = 'a') OVER (PARTITION BY method) AS m FROM sides""")
 ORACLE["cliffs_delta_orders"] = sql("placed", f"""SELECT method, {_DELTA_REPORT} FROM
     (SELECT method, CAST(sum((upto - same) - (n - upto)) AS DOUBLE) / (max(m)::DOUBLE * max(n)) AS delta FROM placed WHERE side = 'a' GROUP BY 1)""")
-ORACLE["cluster_data_matrix"] = (
-    ORACLE["cluster_data"]
-    .replace("n * i // 40 AS k, p_partkey AS file_id, ((p_partkey * p_partkey) // n) * (n * i // 40) // n AS label",
-             "CAST(25 AS BIGINT) AS k, p_partkey AS file_id, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) - 1 AS label")
-    .replace("FROM part, (SELECT count(*) AS n FROM part), (SELECT unnest(range(1, 13)) AS i)", "FROM part")
+
+
+_CTES["labels_25"] = ("labels", "SELECT CAST(25 AS BIGINT) AS k, file_id, label FROM labels")
+_CTES["base_25"] = ("files labels_25 edges degree", _base("labels_25"))
+_CTES["clusters_25"] = ("base_25", _rates("base_25"))
+ORACLE["cluster_data_matrix"] = sql(
+    "clusters_25",
+    f"SELECT k, label, in_change, out_change, in_file, out_file, in_loc, out_loc, {_rounded(_RATES, 10)} FROM clusters_25",
 )
+
+# Average linkage, one merge per step: all rows of a step are pairs of nodes (a < b), and nodes (a = b) with their measures.
+_CTES["tree_files"] = ("files", "SELECT f.file_id, f.loc FROM files f WHERE f.file_id IN (SELECT vec_id FROM embeddings)")
+_CTES["tree_edges"] = ("edges tree_files", """SELECT e.* FROM edges e WHERE e.a IN (SELECT file_id FROM tree_files)
+    AND e.b IN (SELECT file_id FROM tree_files)""")
+_CTES["tree_start"] = ("tree_files tree_edges", """SELECT p.a, p.b, p.s, 1::BIGINT AS c, coalesce(e.w, 0)::BIGINT AS w, 0::BIGINT AS files, 0::BIGINT AS loc, 0::BIGINT AS degree
+    FROM (SELECT x.vec_id AS a, y.vec_id AS b,
+            (100 - round_even(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 100, 0))::BIGINT AS s
+          FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
+          WHERE x.vec_id IN (SELECT file_id FROM tree_files) AND y.vec_id IN (SELECT file_id FROM tree_files)) p
+    LEFT JOIN tree_edges e ON e.a = p.a AND e.b = p.b
+    UNION ALL SELECT file_id, file_id, 0, 0, 0, 1, loc, coalesce(d.degree, 0)::BIGINT FROM tree_files LEFT JOIN
+      (SELECT file_id, sum(w) AS degree FROM (SELECT a AS file_id, w FROM tree_edges UNION ALL SELECT b, w FROM tree_edges) GROUP BY 1) d USING (file_id)""")
+_CTES["tree"] = ("tree_start", """SELECT 0 AS step, a, b, s, c, w, files, loc, degree FROM tree_start
+    UNION ALL
+    SELECT step + 1, na, nb, (CASE WHEN na = nb THEN 0 ELSE sum(s) END)::BIGINT, (CASE WHEN na = nb THEN 0 ELSE sum(c) END)::BIGINT,
+      sum(w)::BIGINT, sum(files)::BIGINT, sum(loc)::BIGINT, sum(degree)::BIGINT
+    FROM (SELECT step, s, c, w, files, loc, degree, least(x, y) AS na, greatest(x, y) AS nb FROM
+            (SELECT t.step, t.s, t.c, t.w, t.files, t.loc, t.degree, CASE WHEN t.a = m.m.b THEN m.m.a ELSE t.a END AS x,
+                    CASE WHEN t.b = m.m.b THEN m.m.a ELSE t.b END AS y
+             FROM tree t, (SELECT min({'h': s / c, 'a': a, 'b': b}) AS m FROM tree WHERE a < b) m WHERE m.m IS NOT NULL))
+    GROUP BY step, na, nb""")
+_CTES["tree_merges"] = ("tree", """SELECT m.step + 1 AS step, m.m.a AS a, m.m.b AS b, m.m.h AS height, n.files, n.loc, n.degree, n.w AS in_change
+    FROM (SELECT step, min({'h': s / c, 'a': a, 'b': b}) AS m FROM tree WHERE a < b GROUP BY 1) m
+    JOIN tree n ON n.step = m.step + 1 AND n.a = m.m.a AND n.b = m.m.a""")
+_CTES["tree_cuts"] = ("tree_files", "SELECT unnest([5, 10, 20, 50, 100])::BIGINT AS k, (SELECT count(*) FROM tree_files) AS n")
+_CTES["tree_roots"] = ("tree_cuts tree_merges", """SELECT k, n, file_id, file_id AS root FROM tree_cuts, tree_files
+    UNION ALL SELECT r.k, r.n, r.file_id, m.a FROM tree_roots r JOIN tree_merges m ON m.b = r.root AND m.step <= r.n - r.k""")
+_CTES["tree_base"] = ("tree tree_files", """SELECT (SELECT count(*) FROM tree_files) - step AS k, w AS in_change, degree - 2 * w AS out_change, files AS in_file,
+    (SELECT count(*) FROM tree_files) - files AS out_file, loc AS in_loc, (SELECT sum(loc) FROM tree_files)::BIGINT - loc AS out_loc
+    FROM tree WHERE a = b""")
+_CTES["tree_rates"] = ("tree_base", _rates("tree_base"))
+_CTES["tree_sweep"] = ("tree_rates", "SELECT k, " + ", ".join(f"coalesce(sum({c}), 0) / k AS {c}" for c in _RATES) + """,
+    CAST(sum(CASE WHEN in_file BETWEEN 5 AND 20 THEN in_file ELSE 0 END) AS DOUBLE) / sum(in_file) AS ned FROM tree_rates WHERE k >= 2 GROUP BY k""")
+_CTES["tree_eligible"] = ("tree_sweep", "SELECT * FROM tree_sweep WHERE " + " AND ".join(f"{c} <> 0" for c in [*_RATES, "ned"]))
+_CTES["tree_scaled"] = ("tree_eligible", _CTES["scaled"][1].replace("FROM criteria", "FROM tree_eligible"))
+_CTES["tree_long"] = ("tree_scaled", _CTES["scaled_long"][1].replace("UNPIVOT scaled", "UNPIVOT tree_scaled"))
+_CTES["tree_weights"] = ("tree_long", _CTES["weights"][1].replace("FROM scaled_long", "FROM tree_long"))
+ORACLE["ahc_merges"] = sql("tree_merges", "SELECT step::BIGINT AS step, a, b, round(height, 10) AS height, files, loc, degree, in_change FROM tree_merges")
+ORACLE["ahc_labels"] = sql("tree_roots", """SELECT k, file_id, root, dense_rank() OVER (PARTITION BY k ORDER BY root) - 1 AS label
+    FROM (SELECT k, file_id, min(root) AS root FROM tree_roots GROUP BY 1, 2)""")
+ORACLE["ahc_sweep"] = sql("tree_sweep", f"SELECT k::BIGINT AS k, {_rounded([*_RATES, 'ned'], 8)} FROM tree_sweep")
+ORACLE["cluster_selection"] = sql("tree_weights", """SELECT (SELECT count(*) FROM tree_files) AS files, (SELECT count(*) FROM tree_files) AS iteration,
+    k::BIGINT AS f_optimal, round(score, 8) AS score FROM (SELECT k, sum(CASE WHEN criterion LIKE 'out%' THEN -x ELSE x END * weight) AS score
+      FROM tree_long JOIN tree_weights USING (criterion) GROUP BY 1) ORDER BY score DESC, k LIMIT 1""")

@@ -72,7 +72,7 @@ def dendrogram(vectors: DataFrame, loc: DataFrame, touched: DataFrame) -> Dendro
 
 def select_clusters(tree: Dendrogram, compat_sign_flip: bool = True) -> DataFrame:
     """Best cut of a dendrogram over all k: ``files, iteration, f_optimal, score``."""
-    per_k = hierarchy.eligible_cuts(hierarchy.sweep_criteria(tree.merges, tree.leaves))
+    per_k = quality.keep_complete(hierarchy.sweep_criteria(tree.merges, tree.leaves))
     best = scoring.best_k(score_cuts(per_k, compat_sign_flip))
     n = tree.leaves.agg(F.count(F.lit(1)).alias("n")).scalar()
     return best.select(n.alias("files"), n.alias("iteration"), F.col("k").alias("f_optimal"), "score")
@@ -91,16 +91,16 @@ VECTORIZERS = ("c2v_tfidf", "c2v", "tfidf_lsa", "doc_embed")
 
 def file_vectors(
     texts: DataFrame, id_col: str, text_col: str, vectorizer: str = "c2v_tfidf",
-    token_vectors: DataFrame | None = None, dim: int | None = None,
+    token_vectors: DataFrame | None = None, dim: int | None = None, split_identifiers: bool = True,
 ) -> DataFrame:
-    """``file_id, vec`` by name of the vectoriser."""
+    """``file_id, vec`` by name of the vectoriser; identifiers are split into their words first."""
     if vectorizer not in VECTORIZERS:
         raise ValueError(f"unknown vectorizer {vectorizer!r}; choose one of {VECTORIZERS}")
     if vectorizer == "doc_embed":
-        return text.doc_embed(texts, id_col, text.clean_words(F.col(text_col)))
+        return text.doc_embed(texts, id_col, text.clean_words(F.col(text_col), split_identifiers=split_identifiers))
     files = texts.select(F.col(id_col).alias("file_id"))
     n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tf = store(text.text_words(texts, id_col, text_col))  # read by the weights and by the sums
+    tf = store(text.text_words(texts, id_col, text_col, split_identifiers=split_identifiers))  # read by the weights and by the sums
     if vectorizer == "tfidf_lsa":
         return text.lsa(text.tfidf_l2(tf, n))
     if token_vectors is None or dim is None:

@@ -119,7 +119,10 @@ def cluster_layout(t: Tables) -> DataFrame:
 
 @query
 def log_parse(t: Tables) -> DataFrame:
-    """Log text made from the tables, one block per changed line, and parsed back."""
+    """Log text made from the tables, one block per changed line, and parsed back.
+
+    Messages hold characters that are line ends to some readers, but not to the log.
+    """
     made = (
         spread(t("lineitem"))
         .join(t.commits().withColumnRenamed("commit", "l_orderkey"), "l_orderkey")
@@ -128,7 +131,7 @@ def log_parse(t: Tables) -> DataFrame:
     date = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
     header = F.concat(
         F.lit("commit-hash:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
-        F.lit("||message:"), "message", F.lit("||__unique-date-mark:"), date, F.lit("+08:00||commiter:c"),
+        F.lit("||message:"), "message", F.lit(" a\rb\u0085c\u2028d"), F.lit("||__unique-date-mark:"), date, F.lit("+08:00||commiter:c"),
         F.col("commiter").cast("string"), F.lit("||"),
     )
     changed = F.concat_ws("\t", F.col("l_quantity").cast("bigint").cast("string"), F.lit("0"), C.backslashes(F.col("path")))
@@ -309,41 +312,32 @@ def cosine_matrix(t: Tables) -> DataFrame:
 
 # ---- clustering ----------------------------------------------------------------------------
 
-_trees: dict[tuple[str, str], pipelines.Dendrogram] = {}
-
-
-def forget_dendrograms() -> None:
-    """Drop the dendrograms kept for queries of the same session and folder."""
-    _trees.clear()
-
 
 def _tree(t: Tables) -> pipelines.Dendrogram:
-    key = (t.spark.sparkContext.applicationId, t.dir)
-    if key not in _trees:
-        _trees[key] = pipelines.dendrogram(t.vectors(), t.loc(), t.touches())
-    return _trees[key]
+    return pipelines.dendrogram(t.vectors(), t.loc(), t.touches())
 
 
 @query
 def ahc_merges(t: Tables) -> DataFrame:
-    return _tree(t).merges.select("step", "a", "b", "height", "files", "loc", "degree", "in_change")
+    return _tree(t).merges.select("step", "a", "b", _r("height", 10), "files", "loc", "degree", "in_change")
 
 
 @query
 def ahc_labels(t: Tables) -> DataFrame:
     tree = _tree(t)
-    return hierarchy.cut(tree.merges, tree.leaves, CUT_KS)
+    labels = hierarchy.cut(tree.merges, tree.leaves, CUT_KS)
+    return labels.select(F.col("k").cast("bigint").alias("k"), "file_id", "root", F.col("label").cast("bigint").alias("label"))
 
 
 @query
 def ahc_sweep(t: Tables) -> DataFrame:
     tree = _tree(t)
-    return hierarchy.sweep_criteria(tree.merges, tree.leaves)
+    return hierarchy.sweep_criteria(tree.merges, tree.leaves).select("k", *[_r(c) for c in quality.CRITERIA])
 
 
 @query
 def cluster_selection(t: Tables) -> DataFrame:
-    return pipelines.select_clusters(_tree(t))
+    return pipelines.select_clusters(_tree(t)).select("files", "iteration", "f_optimal", _r("score"))
 
 
 @query
@@ -353,7 +347,7 @@ def kmeans_labels(t: Tables) -> DataFrame:
 
 @query
 def kmeans_restarts(t: Tables) -> DataFrame:
-    return kmeans.kmeans_labels(settle(similarity.distance_rows(t.vectors())), KMEANS_KS[:1], restarts=5)
+    return kmeans.kmeans_labels(settle(similarity.distance_rows(t.vectors())), KMEANS_KS, restarts=5)
 
 
 @query
@@ -479,7 +473,7 @@ def churn_by_cluster(t: Tables) -> DataFrame:
 def risk_report(t: Tables) -> DataFrame:
     fixes = t.fixes_v1()
     risk = _risk(t, fixes)
-    report = hotspots.risk_report(fixes, t.labels(), t.loc(), risk.ranked, risk.top)
+    report = hotspots.risk_report(fixes, t.labels(), t.loc(), risk.decision, risk.top, "parts")
     doubles = [c for c, kind in report.dtypes if kind == "double"]
     return report.select(
         *[_r(c) if c in doubles else F.col(c) for c in report.columns[:-1]],
@@ -489,7 +483,7 @@ def risk_report(t: Tables) -> DataFrame:
 
 @query
 def next_release_report(t: Tables) -> DataFrame:
-    report = hotspots.next_release_report(t.fixes_next(), t.labels(), _risk(t, t.fixes_v1()).top)
+    report = hotspots.next_release_report(t.fixes_next(), t.labels(), _risk(t, t.fixes_v1()).top, "parts")
     return report.select(*[_r(c) if kind == "double" else F.col(c) for c, kind in report.dtypes])
 
 

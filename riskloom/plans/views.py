@@ -46,9 +46,8 @@ class Tables:
         )
 
     def issues(self) -> DataFrame:
-        """Keys of customers in debt: ``customer-17`` matches ``Customer#17`` and ``Customer#170``."""
-        bad = self("customer").filter((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") < 0))
-        return bad.select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("issue_key"))
+        """Keys of customers: ``customer-17`` matches ``Customer#17`` and ``Customer#170``."""
+        return self("customer").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("issue_key"))
 
     def changes(self) -> DataFrame:
         line = self("lineitem").select(
@@ -109,11 +108,11 @@ class Tables:
         return self("documents").agg(F.count(F.lit(1)).alias("n")).scalar()
 
     def tf(self) -> DataFrame:
-        return text.text_words(self.documents(), "doc_id", "text")
+        return text.text_words(self.documents(), "doc_id", "text", split_identifiers=True)
 
     def token_vectors(self, tf: DataFrame) -> DataFrame:
-        """A vector for each word of two documents or more, chosen by a hash of the word."""
-        known = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
+        """A vector for most words, rare ones as well, chosen by a hash of the word; one in sixteen is unknown."""
+        known = tf.select("word").distinct().filter(F.substring(F.md5("word"), 9, 1) != "0")
         n = self("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
         slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % n
         vectors = self("embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").cast("array<double>").alias("vec"))

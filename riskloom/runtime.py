@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast by hint only if a count taken beforehand is at most this.
-BROADCAST_ROWS = 1_000_000
+# A side is broadcast by hint only if a count taken beforehand, times the width of its columns, is at most this.
+BROADCAST_BYTES = 16_000_000
+NAME_BYTES = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +42,23 @@ def store(df: DataFrame) -> DataFrame:
     For iterations: unlike a checkpoint the scan carries no constraints from the plan it came
     from, which would otherwise pile up round after round in the optimizer.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store_at(df, new_path(df.sparkSession))
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def store_at(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Write to a path from ``new_path``, to be able to add to the table or to discard it."""
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later step reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def store_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -54,9 +68,16 @@ def store_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return stored, seen.get["n"]
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the counted ``rows`` are few; otherwise leave a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the counted ``rows`` of numbers or short names are few; otherwise leave a shuffle join.
+
+    Columns count by their width, names as ``NAME_BYTES``; a table with nested columns is never hinted.
+    """
+    widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
+    kinds = [kind for _, kind in df.dtypes]
+    if any(kind not in widths and kind != "string" for kind in kinds):
+        return df
+    return F.broadcast(df) if rows * sum(widths.get(kind, NAME_BYTES) for kind in kinds) <= limit else df
 
 
 def spread(scan: DataFrame) -> DataFrame:

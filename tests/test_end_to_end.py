@@ -53,9 +53,9 @@ def test_log_to_reports(spark, tmp_path):
     fixes = resolved(f1, "loose")
     risk = pipelines.rank_risk(fixes, labels, loc)
     assert {r.file_id: r.bugs for r in risk.space.collect()} == {0: 3, 1: 2}
-    report = hotspots.risk_report(fixes, labels, loc, risk.ranked, risk.top).first()
+    report = hotspots.risk_report(fixes, labels, loc, risk.decision, risk.top, "p").first()
     assert (report.bf_in, report.bf_out, report.top_buggy_cluster) == (2, 1, [0])
     stored = spark.createDataFrame([("p", report.top_buggy_cluster)], "project STRING, top_buggy_cluster ARRAY<INT>")
     top = hotspots.stored_top(stored, "p")
-    later = hotspots.next_release_report(resolved(history.release_diff(f2, f1), "loose"), labels, top).first()
+    later = hotspots.next_release_report(resolved(history.release_diff(f2, f1), "loose"), labels, top, "p").first()
     assert (later.bf_in, later.bf_out, later.bc_top) == (1, 1, 5 / 7)

@@ -53,9 +53,15 @@ MESSAGES = ["PROJ-12 fix", "proj_123: x", "see PROJ 7", "no key", "xPROJ-12", "H
 KEYS = ["PROJ-12", "PROJ-7", "HBASE-7", "PROJ-12", "NONE-1"]
 
 
-@pytest.mark.parametrize("anchored", [200, 0])
-def test_issue_matching_equals_regex(spark, monkeypatch, anchored):
-    monkeypatch.setattr(history, "ANCHORED_HEADS", anchored)
+def test_messages_keep_other_line_ends(spark):
+    block = "commit-hash:{0}||message:a{1}b||__unique-date-mark:2020-01-01T10:00:00+08:00||commiter:B||\n\n1\t1\ta.java\n"
+    ends = ["\r", "\u0085", "\u2028", "\u2029"]
+    blocks = spark.createDataFrame([(block.format(i, e), i) for i, e in enumerate(ends)], "block STRING, pos INT")
+    got = {int(r.commit): (r.message, len(r.paths)) for r in history.parse_blocks(blocks).collect()}
+    assert got == {i: (f"a{e}b", 1) for i, e in enumerate(ends)}
+
+
+def test_issue_matching_equals_regex(spark):
     commits = spark.createDataFrame(list(enumerate(MESSAGES)), "commit BIGINT, message STRING")
     issues = spark.createDataFrame([(k,) for k in KEYS], "issue_key STRING")
     want = {

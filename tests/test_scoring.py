@@ -148,12 +148,18 @@ def test_bug_concentration_by_hand(spark):
                                    "label INT, bug_weight DOUBLE, bug_density_file DOUBLE, bug_density_loc DOUBLE, score DOUBLE, bug_files INT")
     top = hotspots.top_clusters(ranked)
     assert [(r.label, r["rank"], r.running, r.threshold) for r in top.collect()] == [(0, 1, 2, 2)]
-    report = hotspots.risk_report(changes, labels, loc, ranked, top).first()
+    report = hotspots.risk_report(changes, labels, loc, ranked, top, "p").first()
     assert (report.bf_in, report.bf_out, report.cluster_sum, report.file_sum) == (4, 1, 3, 6)
     assert (report.fr, report.loc, report.bc, report.bfr) == pytest.approx((2 / 6, 30 / 210, 16 / 26, 2 / 5))
     assert (report.density_bf_file, report.density_bf_loc, report.bfin_bfr) == pytest.approx((1.0, 2 / 30, 0.5))
-    assert report.top_buggy_cluster == [0]
-    after = hotspots.next_release_report(changes, labels, top).first()
+    assert report.top_buggy_cluster == [0] and report.project == "p"
+    # densities are those counted, which may exceed one
+    dense = ranked.drop("bug_density_file").withColumn("bug_density_file", F.lit(6.5))
+    raw = hotspots.risk_report(changes, labels, loc, dense, top, "p")
+    assert raw.first().bug_density_file_average == 6.5
+    stored = hotspots.stored_top(raw, "p").collect()
+    assert [(r.label, r["rank"]) for r in stored] == [(0, 1)]
+    after = hotspots.next_release_report(changes, labels, top, "p").first()
     assert (after.bc_top, after.bc_all) == pytest.approx((6 / 26, 14 / 26))
     assert (after.bfr_top, after.bfr_all, after.bftop_in_bfin) == pytest.approx((2 / 5, 4 / 5, 2 / 4))
 
@@ -164,7 +170,7 @@ def test_no_bugs_at_all(spark):
     none = spark.createDataFrame([], "commit STRING, file_id BIGINT, churn BIGINT")
     risk = pipelines.rank_risk(none, labels, loc)
     assert risk.top.count() == 0
-    report = hotspots.risk_report(none, labels, loc, risk.ranked, risk.top).first()
+    report = hotspots.risk_report(none, labels, loc, risk.decision, risk.top, "p").first()
     assert (report.bf_in, report.bfr, report.top_buggy_cluster) == (0, None, [])
 
 

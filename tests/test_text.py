@@ -82,9 +82,7 @@ def test_smoothed_tfidf_has_unit_length(spark):
             assert got[i, w] == pytest.approx(v / norm)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lsa_keeps_products(spark, monkeypatch, small):
-    monkeypatch.setattr(text, "GRAM_FILES", 4000 if small else 0)
+def test_lsa_keeps_products(spark):
     rng = np.random.default_rng(8)
     m = rng.integers(0, 3, size=(9, 14)) * rng.random(size=(9, 14)) * 30
     cells = [(i, f"w{j:02d}", float(m[i, j])) for i in range(9) for j in range(14) if m[i, j]]
