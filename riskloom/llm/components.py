@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from riskloom.runtime import store, store_counted
+from riskloom.runtime import shared_folder
+
+ROWS_PER_PART = 20_000
+
+
+def sized(df: DataFrame, rows: int, per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Merge the partitions of a table of about ``rows`` rows, so that small tables do not make many tiny tasks.
+
+    A table with more rows than its partitions times ``per_part`` stays as it is.
+    """
+    return df.coalesce(max(1, math.ceil(rows / per_part)))
+
+
+def store_marked(df: DataFrame) -> tuple[DataFrame, int, tuple]:
+    """Write ``df`` to the shared folder; the stored table, its rows, and a mark of its content taken while writing."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"], (seen.get["n"], seen.get["x"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,28 +44,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
         .distinct()
     )
-    links, n = store_counted(links)
-    before = None
+    links, n, before = store_marked(links)
     while n:
-        links = _small_star(_large_star(links))
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        links, n, now = _small_star(_large_star(links, n), n)
+        if now == before:
             break
-        before = state
+        before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return store(
-        both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    )
+    lowest = store_marked(sized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n))[0]
+    moved = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    return store_marked(sized(moved.distinct(), n))[0]
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    lowest = store(links.groupBy("u").agg(F.min("v").alias("m")))
+def _small_star(links: DataFrame, n: int) -> tuple[DataFrame, int, tuple]:
+    lowest = store_marked(sized(links.groupBy("u").agg(F.min("v").alias("m")), n))[0]
     moved = links.join(lowest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return store(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+    return store_marked(sized(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), n))

@@ -10,16 +10,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.components import connected_components
+from riskloom.llm.components import connected_components, sized, store_marked
 from riskloom.llm.texts import per_slice, utf8
 from riskloom.runtime import store
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PER_BLOCK = 12  # references per block of bits; their distances, below 32 each, fill one long
-BUCKET = 64  # fingerprints of a bucket that are compared in pairs; larger ones go by shared neighbours
+BUCKET = 256  # fingerprints of a bucket that are compared in pairs; larger ones go by shared neighbours
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -86,22 +86,22 @@ def pivot_table(fps: DataFrame, radius: int = RADIUS, per_block: int = PER_BLOCK
     return fps.select("fp", *columns)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, per_block: int = PER_BLOCK, bucket: int = BUCKET) -> DataFrame:
-    """Edges ``a, b`` that connect exactly the distinct fingerprints ``fp`` at ``radius`` (1 or 2) or fewer bits.
+def linked(fps: DataFrame, rows: int, radius: int = RADIUS, per_block: int = PER_BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``a, b`` that connect exactly the distinct fingerprints ``fp`` (about ``rows``) at ``radius`` (1 or 2) or fewer bits.
 
     Of radius + 1 blocks, one is free of differing bits, so linked fingerprints agree in all distances
     to the references of some block: pairs are looked for among those. A pair whose largest
     coordinate difference anywhere exceeds the radius is discarded, the rest is verified. Where more than
-    ``bucket`` fingerprints agree, no pairs are made: each links to the points at one bit (at
-    half the radius), and two are within the radius exactly if they share such a point or are one.
+    ``bucket`` fingerprints agree, no pairs are made: each goes to itself and the 64 points at one bit, and two
+    are within two bits exactly if they meet at a point, where all link to the smallest.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
-    table = store(pivot_table(fps, radius, per_block))
+    table = store(sized(pivot_table(fps, radius, per_block), rows))
     names = [f"d{g}" for g in range(radius + 1)]
     keyed = table.select("*", F.posexplode(F.array(*names)).alias("g", "key"))
-    sizes = store(keyed.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    keyed = store(keyed.join(sizes, ["g", "key"]))
+    sizes = store(sized(keyed.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), 3 * rows))
+    keyed = store(sized(keyed.join(sizes, ["g", "key"]), 3 * rows))
     small, large = keyed.filter(F.col("n") <= bucket), keyed.filter(F.col("n") > bucket)
     other = small.select("g", "key", F.col("fp").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
     lanes = f"sequence(0, {5 * (per_block - 1)}, 5)"
@@ -115,11 +115,14 @@ def linked(fps: DataFrame, radius: int = RADIUS, per_block: int = PER_BLOCK, buc
         .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
         .select(F.col("fp").alias("a"), F.col("other").alias("b"))
     )
-    one_bit = F.array(*[F.lit(_signed(1 << b)).cast("bigint") for b in range(64)])
-    points = large.select("fp").distinct().select(F.col("fp").alias("a"), F.explode(F.transform(one_bit, lambda m: F.col("fp").bitwiseXOR(m))).alias("b"))
-    if radius == 1:  # a point that is itself a fingerprint is a neighbour; others link nothing
-        points = points.join(fps.select(F.col("fp").alias("b")), "b", "left_semi")
-    return pairs.unionByName(points)
+    one_bit = F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << b)).cast("bigint") for b in range(64)])
+    points = large.select("fp").distinct().select(F.col("fp").alias("a"), F.explode(F.transform(one_bit, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+    if radius == 1:  # at radius 1 only fingerprints are meeting points, of themselves and of their neighbours
+        points = points.join(fps.select(F.col("fp").alias("point")), "point", "left_semi")
+    met = points.withColumn("b", F.min("a").over(Window.partitionBy("point")))  # at most 65 meet at a point
+    if radius == 1:
+        met = met.withColumn("b", F.col("point"))
+    return pairs.unionByName(met.filter("a <> b").select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -130,10 +133,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component but never names one (a component of such rows only has a NULL id). Empty in, empty out.
     """
     marked = store(fingerprints(docs))
-    classes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    nodes = store(connected_components(linked(classes.select("fp"), radius)))
+    classes, n, _ = store_marked(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = store(sized(connected_components(linked(classes.select("fp"), n, radius)), n))
     joined = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    joined = store(joined)
-    named = store(joined.groupBy("component").agg(F.min("first").alias("component_id")))
-    labels = store(joined.join(named, "component").select("fp", "component_id"))
+    joined = store(sized(joined, n))
+    named = store(sized(joined.groupBy("component").agg(F.min("first").alias("component_id")), n))
+    labels = store(sized(joined.join(named, "component").select("fp", "component_id"), n))
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")

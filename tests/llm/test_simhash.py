@@ -55,7 +55,7 @@ def test_links_equal_brute_force(spark):
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     for bucket in (8, 10_000):
-        nodes = simhash.connected_components(simhash.linked(df, bucket=bucket)).collect()
+        nodes = simhash.connected_components(simhash.linked(df, len(signed), bucket=bucket)).collect()
         got = {}
         for r in nodes:
             got.setdefault(r.component, set()).add(r.node)
