@@ -34,6 +34,13 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*")
 _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_KIND['L']}]+|[{_KIND['N']}]|[^\s{_KIND['L']}{_KIND['N']}]+")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class WordTokenizer:
     """Ids of a word-wise lower-casing BPE tokenizer, with a bounded cache of words.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import per_slice, utf8
+from riskloom.llm.texts import fields, per_slice, utf8
 
 HASHED = 512  # hashed byte trigrams
 SAMPLE = 8_000  # expected bound of the positives, and of the unlabelled texts, that the model is fitted on
@@ -138,14 +138,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit_nnpu(positive, unlabelled, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` for each row; NULL and empty texts are scored as texts without any character."""
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, score`` for each row, and the columns named in ``carry``.
+
+    NULL and empty texts are scored as texts without any character.
+    """
+    carry = carry or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.stack([features(t) for t in utf8(batch)])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x).astype(np.float64))], names=["doc_id", "score"])
+        scores = pa.array(model.score(x).astype(np.float64))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), scores, *map(batch.column, carry)], names=["doc_id", "score", *carry])
 
-    return per_slice(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, score double")
+    others = [c for c in carry if c != "text"]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    return per_slice(texts, run, "doc_id bigint, score double" + fields(texts, carry))
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

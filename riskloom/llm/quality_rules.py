@@ -37,12 +37,12 @@ def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _text_measures(docs: DataFrame) -> DataFrame:
+def _text_measures(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Words as hashes, and what is counted on characters and lines."""
     text = _filled(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     cut = docs.select(
-        "doc_id",
+        "doc_id", *carry,
         F.transform(F.array_remove(F.split(text, f"[{SPACE}]+"), ""), lambda w: F.xxhash64(w)).alias("words"),
         F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -50,7 +50,7 @@ def _text_measures(docs: DataFrame) -> DataFrame:
         lines.alias("lines"),
     )
     return cut.select(
-        "doc_id", "words", "word_chars", "n_symbols", "n_upper",
+        "doc_id", *carry, "words", "word_chars", "n_symbols", "n_upper",
         F.size("words").cast("bigint").alias("n_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -87,13 +87,15 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(p.isNull(), F.lit(0).cast("bigint")).otherwise(total))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, the measurements and ``failures``, a bit for each rule of ``RULES`` that the text fails.
 
     One row per input row, also for repeated or NULL doc_ids. A NULL or empty text has no words and
-    measures zero everywhere. Other columns of ``docs`` are left out.
+    measures zero everywhere. Other columns of ``docs`` are left out, save those named in ``carry``.
     """
-    measured = _repeat_words(_text_measures(docs.select("doc_id", "text"))).select("doc_id", *MEASUREMENTS)
+    carry = carry or []
+    texts = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
+    measured = _repeat_words(_text_measures(texts, carry)).select("doc_id", *MEASUREMENTS, *carry)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failures = bits[0]
     for bit in bits[1:]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskloom.llm import (
     embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, url_filters,
 )
@@ -65,16 +66,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack(packing.pieces(docs, tokenizer_path()))
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
 
 
 @query
@@ -86,7 +81,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, and decoded again."""
-    path = tokenizer_path("piece_bpe_32k.model")
+    path = packing.tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     back = pieces.decode(pieces.encode(docs, path), path)
     return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
@@ -102,3 +97,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components, sized, store_marked
-from riskloom.llm.texts import per_slice, utf8
+from riskloom.llm.texts import fields, per_slice, utf8
 from riskloom.runtime import store
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -43,14 +43,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) for each row; a NULL text counts as empty."""
+def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long) for each row, and the columns in ``carry``; a NULL text counts as empty."""
+    carry = carry or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = pa.array([fingerprint(t) for t in utf8(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *map(batch.column, carry)], names=["doc_id", "fp", *carry])
 
-    return per_slice(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, fp bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return per_slice(texts, run, "doc_id bigint, fp bigint" + fields(texts, carry))
 
 
 def references(radius: int = RADIUS, per_block: int = PER_BLOCK) -> list[list[int]]:
@@ -125,18 +127,20 @@ def linked(fps: DataFrame, rows: int, radius: int = RADIUS, per_block: int = PER
     return pairs.unionByName(met.filter("a <> b").select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row; component_id is the smallest doc_id reachable over links.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, fp, group, component_id`` for each row, and the columns in ``carry``.
+
+    component_id is the smallest doc_id reachable over links, group the smallest fingerprint.
 
     Equal fingerprints are one point of the search, whatever their number. NULL and empty texts have
     fingerprint zero and link like any other. Repeated rows share a component; a NULL doc_id gets its
     component but never names one (a component of such rows only has a NULL id). Empty in, empty out.
     """
-    marked = store(fingerprints(docs))
+    marked = store(fingerprints(docs, carry))
     classes, n, _ = store_marked(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = store(sized(connected_components(linked(classes.select("fp"), n, radius)), n))
     joined = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     joined = store(sized(joined, n))
     named = store(sized(joined.groupBy("component").agg(F.min("first").alias("component_id")), n))
-    labels = store(sized(joined.join(named, "component").select("fp", "component_id"), n))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = store(sized(joined.join(named, "component").select("fp", F.col("component").alias("group"), "component_id"), n))
+    return marked.join(labels, "fp").select("doc_id", "fp", "group", "component_id", *(carry or []))

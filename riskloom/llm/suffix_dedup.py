@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import windows
-from riskloom.llm.texts import per_slice, utf8
+from riskloom.llm.texts import fields, per_slice, utf8
 from riskloom.runtime import store
 
 LENGTH = 400
@@ -171,13 +171,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tree_rows:
     return Repeats(groups, copies, frequent)
 
 
-def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept``: each row's bytes without the ranges ``row, low, end``; kept is binary.
+def remove(docs: DataFrame, spans: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept, text``: each row's bytes without the ranges ``row, low, end``.
 
-    What is left of a character that was cut through is kept byte by byte.
+    ``kept`` holds all bytes that are left, also those of a character that was cut through; ``text`` holds the whole characters.
+    Columns of ``docs`` named in ``carry`` are handed on.
     """
+    carry = carry or []
     lists = store(spans.groupBy("row").agg(F.collect_set(F.struct("low", "end")).alias("spans")))
-    joined = windows.with_lists(windows.rows_of(docs), lists, "left").select("doc_id", "text", "spans")
+    joined = windows.with_lists(windows.rows_of(docs, carry), lists, "left").select("doc_id", "text", "spans", *carry)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sizes, gone, runs, kept = [], [], [], []
@@ -192,15 +194,19 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
             gone.append(sizes[-1] - len(text))
             kept.append(text)
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [
+                part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
+                pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *map(part.column, carry),
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *carry],
         )
 
-    return per_slice(joined, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string"
+    return per_slice(joined, run, schema + fields(joined, carry))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row, without every byte of a repeated string of ``length``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept, text`` for each row, without every byte of a repeated string of ``length``.
 
     All occurrences go, the first as well. Strings are judged on the input and never cross rows. NULL and empty texts have no
     bytes, shorter texts than ``length`` lose none, rows that repeat a whole text of that length lose all of it. Empty in, empty out.

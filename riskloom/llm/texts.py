@@ -36,6 +36,14 @@ def per_slice(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def fields(df: DataFrame, names: list[str]) -> str:
+    """Schema text of some columns, for operators that hand columns of their input on.
+
+    Such columns must not have the names of the operator's own.
+    """
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as bytes; NULL as empty."""
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]

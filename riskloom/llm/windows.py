@@ -36,10 +36,11 @@ def octets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.cumsum([0, *map(len, texts)])
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, row, text``: row is a hash of both, so that texts that share a doc_id stay apart."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, *(carry or []))
+    return texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *(carry or []))
 
 
 def cells(keys: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:

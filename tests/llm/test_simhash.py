@@ -86,4 +86,4 @@ def test_near_copies_share_a_component(docs_of):
 
 def test_document_columns_are_not_read(docs_of):
     frame = docs_of([(1, "a b c d")]).withColumn("fp", F.lit("clash"))
-    assert simhash.near_duplicates(frame).columns == ["doc_id", "fp", "component_id"]
+    assert simhash.near_duplicates(frame).columns == ["doc_id", "fp", "group", "component_id"]
