@@ -13,8 +13,10 @@ SLICE_BYTES = 2_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of ``batch`` whose ``column`` holds about ``limit`` bytes each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    """Row slices of ``batch`` whose ``column``, of texts or of lists, holds about ``limit`` bytes or elements each."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = pc.fill_null(length(values), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
