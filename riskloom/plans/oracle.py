@@ -440,3 +440,25 @@ ORACLE["ahc_sweep"] = sql("tree_sweep", f"SELECT k::BIGINT AS k, {_rounded([*_RA
 ORACLE["cluster_selection"] = sql("tree_weights", """SELECT (SELECT count(*) FROM tree_files) AS files, (SELECT count(*) FROM tree_files) AS iteration,
     k::BIGINT AS f_optimal, round(score, 8) AS score FROM (SELECT k, sum(CASE WHEN criterion LIKE 'out%' THEN -x ELSE x END * weight) AS score
       FROM tree_long JOIN tree_weights USING (criterion) GROUP BY 1) ORDER BY score DESC, k LIMIT 1""")
+
+# Files written and read back.
+ORACLE["project_list"] = sql("", """SELECT lower(replace(n_name, ' ', '-')) AS project, '1.2.0' AS exp_version, 'branch-' || n_regionkey AS exp_branch,
+    '2.3.0' AS new_version, 'main' AS new_branch, upper(replace(n_name, ' ', '-')) AS jira_key, n_nationkey::INTEGER AS jira_bugs_amount FROM nation""")
+ORACLE["log_blocks"] = sql("commits", """SELECT "commit"::VARCHAR AS "commit", 'c' || commiter AS commiter, message, 1::BIGINT AS n_paths FROM commits WHERE "commit" % 10 <> 0""")
+ORACLE["commit_records"] = sql("commits", """SELECT l_orderkey::VARCHAR AS "commit", commiter::VARCHAR AS commiter, message,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, ins::VARCHAR, del::VARCHAR, 'f' || l_partkey) - 1 AS pos,
+    ins::VARCHAR AS insertions, del::VARCHAR AS deletions, 'f' || l_partkey AS path FROM
+    (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS ins, CAST(round(l_discount * 100) AS BIGINT) AS del FROM lineitem)
+    JOIN commits ON "commit" = l_orderkey""")
+ORACLE["label_list"] = sql("files labels", "SELECT path, label FROM files JOIN labels USING (file_id)")
+ORACLE["loc_list"] = sql("files", "SELECT path, loc FROM files WHERE loc > 1")
+ORACLE["file_list"] = sql("files", "SELECT row_number() OVER (ORDER BY file_id) - 1 AS file_id, path FROM files")
+ORACLE["matrix_file"] = sql("deps", """SELECT least(src, dst)::BIGINT AS a, greatest(src, dst)::BIGINT AS b, CAST(sum(w) AS BIGINT) AS w
+    FROM deps WHERE src <> dst GROUP BY 1, 2""")
+ORACLE["token_vector_file"] = sql("", """SELECT 'tok' || vec_id AS token, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings""")
+ORACLE["issue_export"] = sql("", "SELECT 'Bug' AS issue_type, c_name AS issue_key FROM customer UNION ALL SELECT 'Bug', s_name FROM supplier")
+ORACLE["issue_list"] = sql("issues", "SELECT issue_key FROM issues")
+ORACLE["dependency_list"] = sql("", """SELECT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+ORACLE["rsf_file"] = sql("files labels", """SELECT 'contain' AS relation, CAST(label AS VARCHAR) AS grp,
+    replace(replace(replace(path, '/root/src/', ''), '/', '.'), ' ', '_') AS member FROM files JOIN labels USING (file_id)""")
+ORACLE["result_append"] = sql("", """SELECT n_name AS project, unnest([0, 1])::BIGINT AS pos, unnest([n_nationkey, n_regionkey])::BIGINT AS label FROM nation""")

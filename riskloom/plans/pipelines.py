@@ -109,7 +109,20 @@ def file_vectors(
     return text.doc_vectors(tf, token_vectors, dim, files, weights, n).select("file_id", "vec")
 
 
-def kmeans_criteria(rows: DataFrame, ks, loc: DataFrame, touched: DataFrame, restarts: int = 1) -> DataFrame:
+def kmeans_criteria(rows: DataFrame, ks, loc: DataFrame, touched: DataFrame, restarts: int = 10) -> DataFrame:
     """Criteria per k of k-means labels."""
     labels = kmeans.kmeans_labels(rows, ks, restarts).select("k", "file_id", "label")
     return labelled_criteria(labels, loc, touched)
+
+
+def select_kmeans(rows: DataFrame, loc: DataFrame, touched: DataFrame, restarts: int = 10, compat_sign_flip: bool = True) -> DataFrame:
+    """Best k of k-means over all k from 2 to the number of distinct rows: ``files, iteration, f_optimal, score``.
+
+    ``rows`` are rows of the distance matrix of the files to group.
+    """
+    limit = kmeans.sweep_limit(rows).first()
+    labels = store(kmeans.kmeans_labels(rows, range(2, limit.iteration + 1), restarts).select("k", "file_id", "label"))
+    best = scoring.best_k(score_cuts(labelled_criteria(labels, loc, touched), compat_sign_flip))
+    return best.select(
+        F.lit(limit.files).alias("files"), F.lit(limit.iteration).alias("iteration"), F.col("k").alias("f_optimal"), "score"
+    )

@@ -14,7 +14,7 @@ from riskloom.operators import (
 from riskloom.operators.history import history_summary, release_diff
 from riskloom.plans import pipelines
 from riskloom.plans.views import V1_END, V2_START, Tables
-from riskloom.runtime import settle, spread, store
+from riskloom.runtime import new_path, settle, spread, store
 from riskloom.sources import scans, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,147 @@ def cluster_layout(t: Tables) -> DataFrame:
     )
 
 
+# Files are written to the shared folder in the layout of the inputs, and read back.
+
+
+@query
+def project_list(t: Tables) -> DataFrame:
+    """Nations as the projects of a run."""
+    path = new_path(t.spark)
+    name = F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("-")))
+    rows = t("nation").select(
+        name.alias("project"), F.lit("1.2.0").alias("exp_version"), F.concat(F.lit("branch-"), F.col("n_regionkey").cast("string")).alias("exp_branch"),
+        F.lit("2.3.0").alias("new_version"), F.lit("main").alias("new_branch"), F.upper(name).alias("jira_key"), F.col("n_nationkey").alias("jira_bugs_amount"),
+    )
+    sinks.write_table(rows, path)
+    return scans.read_projects(t.spark, path)
+
+
+@query
+def log_blocks(t: Tables) -> DataFrame:
+    """The log as one text, split at its separator and parsed; every tenth block lacks a field and is dropped."""
+    path = new_path(t.spark)
+    date = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
+    person = F.when(F.col("commit") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("commiter:c"), F.col("commiter").cast("string"), F.lit("||")))
+    block = F.concat(
+        F.lit("commit-hash:"), F.col("commit").cast("string"), F.lit("||message:"), "message",
+        F.lit("||__unique-date-mark:"), date, F.lit("+08:00||"), person, F.lit("\n\n1\t2\tsrc/A.java\n"),
+    )
+    t.commits().select(block.alias("value")).write.option("lineSep", "commit-block:").text(path)
+    commits = history.parse_blocks(scans.read_log_blocks(t.spark, path))
+    return commits.select("commit", "commiter", "message", F.size("paths").cast("bigint").alias("n_paths"))
+
+
+@query
+def commit_records(t: Tables) -> DataFrame:
+    """Commits with their changed files as JSON records."""
+    path = new_path(t.spark)
+    files = t.changes().select(
+        "commit", F.struct(F.col("pos"), F.col("insertions").cast("string").alias("insertions"), F.col("deletions").cast("string").alias("deletions"),
+                           F.concat(F.lit("f"), F.col("file_id").cast("string")).alias("path")).alias("p"))
+    paths = files.groupBy("commit").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.dropFields("pos")).alias("paths"))
+    rows = t.commits().join(paths, "commit").select(
+        F.col("commit").cast("string").alias("commit"), F.col("commiter").cast("string").alias("commiter"), F.col("date").cast("string").alias("date"), "message", "paths"
+    )
+    sinks.write_records(rows, path)
+    back = scans.read_commit_lines(t.spark, path)
+    return back.select("commit", "commiter", "message", F.posexplode("paths").alias("pos", "p")).select(
+        "commit", "commiter", "message", F.col("pos").cast("bigint").alias("pos"), "p.insertions", "p.deletions", "p.path"
+    )
+
+
+@query
+def label_list(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    sinks.write_table(t.files().join(t.labels(), "file_id").select("path", "label"), path, header=False)
+    return scans.read_labels(t.spark, path).select("path", F.col("label").cast("bigint").alias("label"))
+
+
+@query
+def loc_list(t: Tables) -> DataFrame:
+    """Lines of code per path; parts of one line have no count and are dropped."""
+    path = new_path(t.spark)
+    counted = F.when(F.col("loc") > 1, F.col("loc"))
+    sinks.write_table(t.files().select(F.col("path").alias("Name"), counted.alias("CountLineCode")), path)
+    return scans.read_loc(t.spark, path)
+
+
+@query
+def file_list(t: Tables) -> DataFrame:
+    """Paths in the order of their files; the row number is the id."""
+    path = new_path(t.spark)
+    sinks.write_table(t.files().orderBy("file_id").select("path"), path, header=False)
+    return scans.read_file_list(t.spark, path)
+
+
+@query
+def matrix_file(t: Tables) -> DataFrame:
+    """Nation x nation order flow as a dense file, read back as its non-zero upper cells."""
+    path = new_path(t.spark)
+    flow = compare.cluster_deps(t.dependencies(), t.dependency_labels())
+    both = flow.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").cast("bigint").alias("w"))
+    sinks.write_matrix(both, t("nation").select(F.col("n_nationkey").alias("file_id")), path)
+    return scans.read_matrix(t.spark, path).select("a", "b", F.col("w").cast("bigint").alias("w"))
+
+
+@query
+def token_vector_file(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    numbers = F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), " ")
+    t("embeddings").select(F.concat(F.lit("tok"), F.col("vec_id").cast("string"), F.lit(" "), numbers).alias("value")).write.text(path)
+    return scans.read_token_vectors(t.spark, path).select("token", F.posexplode("vec").alias("dim", "value")).select(
+        "token", F.col("dim").cast("bigint").alias("dim"), "value"
+    )
+
+
+@query
+def issue_export(t: Tables) -> DataFrame:
+    """Two parts of an issue export under the fixed columns."""
+    parts = []
+    for name, prefix in (("customer", "c"), ("supplier", "s")):
+        rows = t(name)
+        values = {"Issue Type": F.lit("Bug"), "Issue key": F.col(f"{prefix}_name"), "Summary": F.concat(F.lit('a "b", '), F.col(f"{prefix}_name"))}
+        parts.append(new_path(t.spark))
+        sinks.write_table(rows.select(*[values.get(c, F.lit("")).alias(c) for c in scans.ISSUE_COLUMNS]), parts[-1])
+    merged = scans.merge_issue_parts(t.spark, parts)
+    return merged.select(F.col("`Issue Type`").alias("issue_type"), F.col("`Issue key`").alias("issue_key"))
+
+
+@query
+def issue_list(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    sinks.write_table(t.issues().select(F.col("issue_key").alias("Issue key"), F.lit("x\ny").alias("Summary")), path)
+    return scans.read_issues(t.spark, path).select("issue_key")
+
+
+@query
+def dependency_list(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    sinks.write_table(t.dependencies().select(F.col("src").alias("From File"), F.col("dst").alias("To File"), F.col("w").alias("References"), F.lit(1).alias("Other")), path)
+    return scans.read_dependencies(t.spark, path)
+
+
+@query
+def rsf_file(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    named = t.files().join(t.labels(), "file_id").withColumn("member", F.replace(C.dotted_path(F.col("path"), "/root/src/"), F.lit(" "), F.lit("_")))
+    sinks.write_rsf(sinks.rsf_rows(named, F.col("label"), F.col("member")), path)
+    return t.spark.read.csv(path, sep=" ", schema="relation STRING, grp STRING, member STRING")
+
+
+@query
+def result_append(t: Tables) -> DataFrame:
+    """Result rows of two runs in one table, lists included."""
+    path = new_path(t.spark)
+    rows = t("nation").select(F.col("n_name").alias("project"), F.array("n_nationkey", "n_regionkey").alias("top_buggy_cluster"))
+    for region in ("n_regionkey < 2", "n_regionkey >= 2"):
+        sinks.append_result(t("nation").filter(region).join(rows.withColumnRenamed("project", "n_name"), "n_name").select(F.col("n_name").alias("project"), "top_buggy_cluster"), path)
+    back = scans.read_results(t.spark, path)
+    return back.select("project", F.posexplode("top_buggy_cluster").alias("pos", "label")).select(
+        "project", F.col("pos").cast("bigint").alias("pos"), F.col("label").cast("bigint").alias("label")
+    )
+
+
 # ---- history -------------------------------------------------------------------------------
 
 
