@@ -39,7 +39,7 @@ NAMES = ["other", *dict.fromkeys(s[2] for s in SCRIPTS)]
 def _folded() -> np.ndarray:
     """For each code point its lower-case form if it is a letter, else 0."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x30000):
+    for c in range(len(table)):
         s = chr(c)
         if s.isalpha():
             low = s.lower()
