@@ -197,6 +197,11 @@ _DELTA_WORD = """CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta)
 _DELTA_REPORT = f"""round(delta, 8) AS delta, {_DELTA_WORD} AS magnitude,
     CAST(round_even(delta * 100, 0) / 100 AS VARCHAR) || '(' || substr({_DELTA_WORD}, 1, 1) || ')' AS report"""
 
+_VECTOR = """g.dim, round(coalesce(s.v / k.known, 0), 7) + 0.0::DOUBLE AS value
+        FROM documents d CROSS JOIN (SELECT unnest(range(0, 64)) AS dim) g LEFT JOIN known k ON k.file_id = d.doc_id
+        LEFT JOIN (SELECT file_id, dim, sum(tf * idf * v) AS v FROM tf JOIN vecdims USING (word) GROUP BY 1, 2) s
+        ON s.file_id = d.doc_id AND s.dim = g.dim"""
+
 ORACLE: dict[str, str] = {
     "line_count": sql("", """SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)),
         lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(//|\\*|/\\*)'))) AS BIGINT) AS loc FROM documents"""),
@@ -261,11 +266,8 @@ ORACLE: dict[str, str] = {
         '[^A-Za-z0-9]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'),
         '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')) AS words FROM part"""),
     "idf": sql("idfs", "SELECT word, df, round(idf, 8) AS idf FROM idfs"),
-    "doc_vector": sql("tf vecdims known", """SELECT d.doc_id AS file_id, coalesce(k.known, 0) AS known, g.dim,
-        round(coalesce(s.v / k.known, 0), 7) + 0.0::DOUBLE AS value
-        FROM documents d CROSS JOIN (SELECT unnest(range(0, 64)) AS dim) g LEFT JOIN known k ON k.file_id = d.doc_id
-        LEFT JOIN (SELECT file_id, dim, sum(tf * idf * v) AS v FROM tf JOIN vecdims USING (word) GROUP BY 1, 2) s
-        ON s.file_id = d.doc_id AND s.dim = g.dim"""),
+    "doc_vector": sql("tf vecdims known", f"SELECT d.doc_id AS file_id, coalesce(k.known, 0) AS known, {_VECTOR}"),
+    "file_vectors": sql("tf vecdims known", f"SELECT d.doc_id AS file_id, {_VECTOR}"),
     "doc_vector_plain": sql("tf vecdims known", """SELECT d.doc_id AS file_id, coalesce(k.known, 0) AS known, g.dim,
         round(coalesce(s.v / k.known, 0), 7) + 0.0::DOUBLE AS value
         FROM documents d CROSS JOIN (SELECT unnest(range(0, 64)) AS dim) g LEFT JOIN known k ON k.file_id = d.doc_id

@@ -426,6 +426,15 @@ def doc_vector_plain(t: Tables) -> DataFrame:
     return _long(text.doc_vectors(tf, t.token_vectors(tf), EMBEDDING_DIM, files))
 
 
+@query
+def file_vectors(t: Tables) -> DataFrame:
+    """The default vectoriser by name: split identifiers, weights, weighted means."""
+    vectors = pipelines.file_vectors(t.documents(), "doc_id", "text", "c2v_tfidf", t.token_vectors(store(t.tf())), EMBEDDING_DIM)
+    return vectors.select("file_id", F.posexplode("vec").alias("dim", "value")).select(
+        "file_id", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 7) + 0.0).alias("value")
+    )
+
+
 @query
 def tfidf_l2(t: Tables) -> DataFrame:
     """Count-vector tf-idf of the file paths."""
