@@ -1,18 +1,21 @@
 """Where bug fixes concentrate: bug space, cluster ranking, top clusters and the two reports.
 
 ``changes`` rows are changed files of bug-fix commits with a resolved file:
-``commit, file_id, churn`` (churn = inserted + deleted lines).
+``commit, file_id, churn`` (churn = inserted + deleted lines). The ranking takes several projects at once:
+``by`` names the columns, such as ``project``, that all its tables carry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import scoring
 from riskloom.operators.ordering import running_totals
-from riskloom.runtime import scalar_struct, settle
+from riskloom.runtime import attach, scalar_struct, settle
 
 BUG_CRITERIA = ["bug_weight", "bug_density_file", "bug_density_loc"]
 
@@ -23,56 +26,66 @@ def with_churn(changes: DataFrame) -> DataFrame:
     return changes.withColumn("churn", churn)
 
 
-def bug_space(changes: DataFrame, labels: DataFrame, min_bugs: int = 2) -> DataFrame:
+def bug_space(changes: DataFrame, labels: DataFrame, min_bugs: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Files with at least ``min_bugs`` changed-file rows in bug-fix commits.
 
     Rows count, not commits: a file listed twice by one commit counts twice.
     """
-    bugs = changes.groupBy("file_id").agg(F.count(F.lit(1)).alias("bugs")).filter(F.col("bugs") >= min_bugs)
-    return labels.join(bugs, "file_id")
+    bugs = changes.groupBy(*by, "file_id").agg(F.count(F.lit(1)).alias("bugs")).filter(F.col("bugs") >= min_bugs)
+    return labels.join(bugs, [*by, "file_id"])
 
 
-def bug_decision(space: DataFrame, clusters: DataFrame) -> DataFrame:
+def bug_decision(space: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of bugs, bugs per file and bugs per line of each cluster that has bugs.
 
     ``clusters`` needs ``label, in_file, in_loc``.
     """
-    per_label = space.groupBy("label").agg(
+    per_label = space.groupBy(*by, "label").agg(
         F.sum("bugs").alias("bugs"), F.count(F.lit(1)).alias("bug_files")
     )
-    total = space.agg(F.sum("bugs").alias("n")).scalar()
-    return per_label.join(clusters.select("label", "in_file", "in_loc"), "label").select(
+    totals = space.groupBy(*by).agg(F.sum("bugs").alias("n"))
+    sized = per_label.join(clusters.select(*by, "label", "in_file", "in_loc"), [*by, "label"])
+    return attach(sized, totals, "_t", by).select(
+        *by,
         "label",
-        C.ratio(F.col("bugs"), total).alias("bug_weight"),
+        C.ratio(F.col("bugs"), F.col("_t.n")).alias("bug_weight"),
         C.ratio(F.col("bugs"), F.col("in_file")).alias("bug_density_file"),
         C.ratio(F.col("bugs"), F.col("in_loc")).alias("bug_density_loc"),
         "bug_files",
     )
 
 
-def rank_clusters(decision: DataFrame) -> DataFrame:
+def rank_clusters(decision: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scale the bug criteria, weigh them by entropy and add ``score`` (best first = highest)."""
-    scaled = scoring.minmax_scale(decision, {c: "pos" for c in BUG_CRITERIA})
-    weights = scoring.entropy_weights_row(scaled, BUG_CRITERIA)
-    return scoring.weighted_sum(scaled, BUG_CRITERIA, weights)
+    scaled = scoring.minmax_scale(decision, {c: "pos" for c in BUG_CRITERIA}, by=by)
+    weights = scoring.entropy_weights_row(scaled, BUG_CRITERIA, by)
+    return scoring.weighted_sum(scaled, BUG_CRITERIA, weights, by=by)
 
 
-def top_clusters(ranked: DataFrame, share: float = 0.8) -> DataFrame:
+def top_clusters(ranked: DataFrame, share: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
     """Best-ranked clusters until their bug-space files reach ``share`` of all; ties by label.
 
     The cluster that crosses the threshold is included. Result: ``label, rank, running,
     threshold, bug_space_files``.
     """
     placed = running_totals(
-        ranked, [F.col("score").desc(), F.col("label").asc()], {"running": "bug_files"}
+        ranked, [*[F.col(c) for c in by], F.col("score").desc(), F.col("label").asc()], {"running": "bug_files"}
+    )
+    # ranks and sums run over all groups, one after the other; each starts anew at its first row
+    if by:
+        placed = settle(placed)
+    groups = placed.groupBy(*by).agg(
+        F.sum("bug_files").alias("files"), F.min(F.col("running") - F.col("bug_files")).alias("before"), F.min("rank").alias("first")
     )
-    files = ranked.agg(F.sum("bug_files").alias("n")).scalar()
-    threshold = F.round(files * F.lit(share)).cast("bigint")
+    threshold = F.round(F.col("_g.files") * F.lit(share)).cast("bigint")
     return (
-        placed.withColumn("bug_space_files", files)
+        attach(placed, groups, "_g", by)
+        .withColumn("running", F.col("running") - F.col("_g.before"))
+        .withColumn("rank", F.col("rank") - F.col("_g.first") + 1)
+        .withColumn("bug_space_files", F.col("_g.files"))
         .withColumn("threshold", threshold)
         .filter((F.col("running") - F.col("bug_files") < F.col("threshold")) | (F.col("rank") == 1))
-        .select("label", "rank", "running", "threshold", "bug_space_files")
+        .select(*by, "label", "rank", "running", "threshold", "bug_space_files")
     )
 
 

@@ -464,3 +464,30 @@ ORACLE["dependency_list"] = sql("", """SELECT 'C' || o_custkey AS src, 'S' || l_
 ORACLE["rsf_file"] = sql("files labels", """SELECT 'contain' AS relation, CAST(label AS VARCHAR) AS grp,
     replace(replace(replace(path, '/root/src/', ''), '/', '.'), ' ', '_') AS member FROM files JOIN labels USING (file_id)""")
 ORACLE["result_append"] = sql("", """SELECT n_name AS project, unnest([0, 1])::BIGINT AS pos, unnest([n_nationkey, n_regionkey])::BIGINT AS label FROM nation""")
+
+# Several projects at once: part types as projects.
+_CTES["p_space"] = ("fixes labels", """SELECT p_type AS project, file_id, label, count(*) AS bugs FROM fixes JOIN labels USING (file_id)
+    JOIN part ON p_partkey = file_id GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+_CTES["p_decision"] = ("p_space files labels", """SELECT b.project, b.label,
+    CAST(b.bugs AS DOUBLE) / sum(b.bugs) OVER (PARTITION BY b.project) AS bug_weight,
+    CAST(b.bugs AS DOUBLE) / c.in_file AS bug_density_file, CAST(b.bugs AS DOUBLE) / c.in_loc AS bug_density_loc, b.bug_files
+    FROM (SELECT project, label, sum(bugs) AS bugs, count(*) AS bug_files FROM p_space GROUP BY 1, 2) b
+    JOIN (SELECT p_type AS project, label, count(*) AS in_file, sum(loc) AS in_loc FROM labels JOIN files USING (file_id)
+          JOIN part ON p_partkey = file_id GROUP BY 1, 2) c ON c.project = b.project AND c.label = b.label""")
+_CTES["p_scaled"] = ("p_decision", "SELECT project, label, bug_files, " + ", ".join(
+    f"""CASE WHEN max({c}) OVER w > min({c}) OVER w THEN 0.994 * ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) + 0.002 END AS {c}""" for c in _BUG
+) + " FROM p_decision WINDOW w AS (PARTITION BY project)")
+_CTES["p_long"] = ("p_scaled", " UNION ALL ".join(f"SELECT project, label, '{c}' AS criterion, {c} AS x FROM p_scaled" for c in _BUG))
+_CTES["p_weights"] = ("p_long", """SELECT project, criterion, CASE WHEN n <= 1 THEN 1.0::DOUBLE / 3 WHEN sum(d) OVER (PARTITION BY project) <> 0
+      THEN d / sum(d) OVER (PARTITION BY project) END AS weight FROM
+    (SELECT project, criterion, count(*) AS n, coalesce(1 + CASE WHEN count(*) > 1 THEN sum(p * ln(p)) / ln(count(*)) END, 0) AS d FROM
+      (SELECT project, criterion, x / sum(x) OVER (PARTITION BY project, criterion) AS p FROM p_long) GROUP BY 1, 2)""")
+_CTES["p_ranked"] = ("p_scaled p_long p_weights", """SELECT b.*, s.score FROM p_scaled b JOIN
+    (SELECT l.project, l.label, sum(coalesce(x * weight, 0)) AS score FROM p_long l
+     JOIN p_weights w ON w.project = l.project AND w.criterion = l.criterion GROUP BY 1, 2) s ON s.project = b.project AND s.label = b.label""")
+ORACLE["project_cluster_rank"] = sql("p_ranked", f"SELECT project, label, {_rounded([*_BUG, 'score'], 8)} FROM p_ranked")
+ORACLE["project_top_clusters"] = sql("p_ranked", """SELECT project, label, "rank", running::BIGINT AS running, threshold, bug_space_files FROM
+    (SELECT *, row_number() OVER w AS "rank", sum(bug_files) OVER w AS running, sum(bug_files) OVER (PARTITION BY project)::BIGINT AS bug_space_files,
+       CAST(round(sum(bug_files) OVER (PARTITION BY project) * 0.8) AS BIGINT) AS threshold FROM p_ranked
+     WINDOW w AS (PARTITION BY project ORDER BY round(score, 12) DESC, label))
+    WHERE running - bug_files < threshold OR "rank" = 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -18,18 +19,21 @@ class RiskRanking(NamedTuple):
     top: DataFrame
 
 
-def rank_risk(fixes: DataFrame, labels: DataFrame, loc: DataFrame, min_bugs: int = 2, share: float = 0.8) -> RiskRanking:
+def rank_risk(
+    fixes: DataFrame, labels: DataFrame, loc: DataFrame, min_bugs: int = 2, share: float = 0.8, by: Sequence[str] = ()
+) -> RiskRanking:
     """Bug space, bug criteria, ranked clusters and the top clusters.
 
-    The criteria, one row per cluster, are computed once; everything after works on that table.
+    The criteria, one row per cluster, are computed once; everything after works on that table. ``by`` names the columns of
+    all three tables that tell projects apart; each project is then ranked by itself, all in the same jobs.
     """
-    space = hotspots.bug_space(fixes, labels, min_bugs)
-    sizes = labels.join(loc, "file_id").groupBy("label").agg(
+    space = hotspots.bug_space(fixes, labels, min_bugs, by)
+    sizes = labels.join(loc, [*by, "file_id"]).groupBy(*by, "label").agg(
         F.count(F.lit(1)).alias("in_file"), F.sum("loc").alias("in_loc")
     )
-    decision = settle(hotspots.bug_decision(settle(space), sizes))
-    ranked = settle(hotspots.rank_clusters(decision))
-    return RiskRanking(space, decision, ranked, hotspots.top_clusters(ranked))
+    decision = settle(hotspots.bug_decision(settle(space), sizes, by))
+    ranked = settle(hotspots.rank_clusters(decision, by))
+    return RiskRanking(space, decision, ranked, hotspots.top_clusters(ranked, share, by))
 
 
 def score_cuts(per_k: DataFrame, compat_sign_flip: bool = True) -> DataFrame:

@@ -609,6 +609,24 @@ def top_clusters(t: Tables) -> DataFrame:
     return _label(_risk(t, t.fixes()).top, "rank", "running", "threshold", "bug_space_files")
 
 
+def _risk_by_project(t: Tables) -> pipelines.RiskRanking:
+    """Part types as projects, ranked in one go."""
+    project = t("part").select(F.col("p_partkey").alias("file_id"), F.col("p_type").alias("project"))
+    keyed = lambda df: df.join(project, "file_id")
+    return pipelines.rank_risk(keyed(t.fixes()), keyed(t.labels()), keyed(t.loc()), by=["project"])
+
+
+@query
+def project_cluster_rank(t: Tables) -> DataFrame:
+    ranked = _risk_by_project(t).ranked
+    return ranked.select("project", F.col("label").cast("bigint").alias("label"), *[_r(c) for c in hotspots.BUG_CRITERIA], _r("score"))
+
+
+@query
+def project_top_clusters(t: Tables) -> DataFrame:
+    return _risk_by_project(t).top.select("project", F.col("label").cast("bigint").alias("label"), "rank", "running", "threshold", "bug_space_files")
+
+
 @query
 def fix_locality(t: Tables) -> DataFrame:
     return _label(hotspots.fix_locality(t.fixes(), t.labels()), "bf", "bf_in", "bf_out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def attach(df: DataFrame, values: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the columns of ``values`` as a struct ``name``: its single row, or its row for each group of ``by``."""
+    if not by:
+        return df.withColumn(name, scalar_struct(values))
+    rest = [F.col(f"`{c}`") for c in values.columns if c not in by]
+    return df.join(store(values.select(*by, F.struct(*rest).alias(name))), list(by), "left")
+
+
 def scalar_struct(df: DataFrame):
     """The single row of ``df`` as a struct-valued scalar subquery column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
