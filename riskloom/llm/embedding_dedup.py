@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components
+from riskloom.llm.texts import map_batches
 from riskloom.runtime import store
 
 THRESHOLD = 0.93
@@ -127,7 +128,7 @@ def _place(classes: DataFrame, forest: list[Tree], dim: int) -> DataFrame:
                     ("embedding", pa.binary()), ("leaves", pa.list_(pa.int32())),
                 ]), preserve_index=False).to_batches()
 
-    return classes.mapInArrow(run, schema)
+    return map_batches(classes, run, schema)
 
 
 def _earlier(leaves: list, leaf: int, columns: dict[int, int]) -> np.ndarray:

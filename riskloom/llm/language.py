@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import per_slice, slices
+from riskloom.llm.texts import map_batches, per_slice, slices
 
 BUCKETS = 1 << 15  # hashed n-grams, so that the model's size is bounded
 SMOOTHING = 0.5
@@ -127,7 +127,7 @@ def train(docs: DataFrame) -> Model:
                 names=["lang", "cell", "n"],
             )
 
-    sums = rows.mapInArrow(run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = map_batches(rows, run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     counts = np.zeros((2 * BUCKETS + len(NAMES), len(langs)))
     if langs:

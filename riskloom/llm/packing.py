@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.texts import per_slice
+from riskloom.llm.texts import map_batches, per_slice
 from riskloom.runtime import store, store_counted
 
 CAPACITY = 4096
@@ -226,4 +226,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *places], names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    return map_batches(ranked.select(*names, "rank"), run, schema)

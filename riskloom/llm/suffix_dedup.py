@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import windows
-from riskloom.llm.texts import fields, per_slice, utf8
+from riskloom.llm.texts import fields, map_batches, per_slice, utf8
 from riskloom.runtime import store
 
 LENGTH = 400
@@ -124,7 +124,7 @@ def _repeats(suffixes: DataFrame, length: int) -> DataFrame:
             yield batch_of(ready)
 
     together = suffixes.repartition("key").sortWithinPartitions("key")
-    return together.mapInArrow(run, "key bigint, number bigint, row bigint, low bigint, end bigint")
+    return map_batches(together, run, "key bigint, number bigint, row bigint, low bigint, end bigint")
 
 
 class Repeats:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,20 @@ from pyspark.sql import DataFrame
 # Bytes of text that are held as arrays at a time; a single longer text makes a slice of its own.
 SLICE_BYTES = 2_000_000
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path, wherever the driver was started.
+
+    On a cluster whose machines do not share that path the package has to be shipped (``--py-files``).
+    """
+    known = df.sparkSession.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return df.mapInArrow(fn, schema)
+
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of ``batch`` whose ``column``, of texts or of lists, holds about ``limit`` bytes or elements each."""
@@ -35,7 +50,7 @@ def per_slice(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in slices(batch, column, limit):
                 yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def fields(df: DataFrame, names: list[str]) -> str:

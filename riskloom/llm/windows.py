@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import anchors
-from riskloom.llm.texts import per_slice, slices, utf8
+from riskloom.llm.texts import map_batches, per_slice, slices, utf8
 
 SLICE = 400_000  # bytes of text whose hashes are held at a time
 DEPTH, CELL_BITS, BLOCK_BITS = 2, 25, 20
@@ -93,7 +93,8 @@ def sketch(rows: DataFrame, elements: Elements, window: int, gram: int) -> Broad
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([np.packbits(c > 1).tobytes() for c in counts.values()], pa.binary())], names=["block", "bits"])
 
     schema = "block int, cells binary"
-    merged = rows.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(merge, "block int, bits binary").toArrow()
+    counted = map_batches(rows.select("text"), count, schema).repartition("block")
+    merged = map_batches(counted, merge, "block int, bits binary").toArrow()
     bits = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
     for block, raw in zip(merged.column("block").to_pylist(), merged.column("bits").to_pylist()):
         bits[block] = np.frombuffer(raw, np.uint8)
