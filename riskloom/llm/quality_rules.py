@@ -95,7 +95,9 @@ def ledger(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """
     carry = carry or []
     texts = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    measured = _repeat_words(_text_measures(texts, carry)).select("doc_id", *MEASUREMENTS, *carry)
+    # generated rather than projected, so that a filter on the result is not pushed down with all that it is made of
+    values = F.struct(*MEASUREMENTS)
+    measured = _repeat_words(_text_measures(texts, carry)).select("doc_id", F.inline(F.array(values)), *carry)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failures = bits[0]
     for bit in bits[1:]:
