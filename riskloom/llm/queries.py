@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import (
-    embedding_dedup, language, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, url_filters,
+    embedding_dedup, language, nnls_packing, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup,
+    url_filters,
 )
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -99,4 +100,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return nnls_packing.pack(nnls_packing.pieces(docs, path), path)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -19,4 +19,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     numbers = {n.split("_")[0] for n in QUERIES if n.startswith("op")}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in QUERIES
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in QUERIES
