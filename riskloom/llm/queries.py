@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from riskloom.llm import (
     embedding_dedup, language, nnls_packing, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup,
-    url_filters,
+    url_filters, whitening,
 )
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -107,4 +107,17 @@ def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(nnls_packing.pieces(docs, path), path)
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is NULL where it does not fit 64 bits; deviation_exact has it up to 38 digits."""
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    model = whitening.fit(vectors)
+    shares = F.array(*[F.lit(float(v) / model.trace) for v in model.values]).cast("array<double>")
+    return whitening.whiten(vectors, model).select(
+        "vec_id", "component", F.lit(model.n).cast("bigint").alias("n"), F.col("deviation").try_cast("bigint").alias("deviation"), "whitened",
+        F.get(shares, F.col("component") - 1).alias("explained"), F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+        F.col("deviation").alias("deviation_exact"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

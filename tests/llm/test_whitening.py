@@ -1,0 +1,109 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from riskloom.llm import whitening
+from riskloom.llm.queries import QUERIES
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, component string, vector int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "clash", 0) for i, v in rows], SCHEMA)
+
+
+def brute(vectors, k=8):
+    """n, exact deviations, whitened vectors (signs free) and shares of the variance, by NumPy's solver and Python's integers."""
+    x = [[math.floor(1024 * float(np.float32(c))) + 100_000 for c in v] for v in vectors]
+    n, total = len(x), [sum(col) for col in zip(*x)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(row, total)) for row in x]
+    centred = np.array([[(n * c - s) / n for c, s in zip(row, total)] for row in x])
+    v = centred.T @ centred / n
+    e, q = np.linalg.eigh(v)
+    e, q = e[::-1][:k], q[:, ::-1][:, :k]
+    return n, deviation, centred @ q / np.sqrt(e), e / np.trace(v)
+
+
+@pytest.mark.parametrize("width", [3, 20])
+def test_whitened_equals_brute_force(spark, width):
+    rng = np.random.default_rng(1)
+    vectors = (rng.standard_normal((700, width)) @ rng.standard_normal((width, width))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    odd = [(900, None), (901, [float("nan")] * width), (902, [None] * width), (903, [float("inf")] + [0.0] * (width - 1)), (904, []), (905, [1.0])]
+    df = table(spark, rows + odd)
+    model = whitening.fit(df)
+    found = whitening.whiten(df, model).toPandas()
+    n, deviation, white, shares = brute(vectors)
+    k = min(8, width)
+    assert model.n == n and len(found) == n * k and np.allclose(model.values / model.trace, shares, rtol=1e-10)
+    got = found.pivot(index="vec_id", columns="component", values="whitened")
+    assert list(got.index) == list(range(n)) and list(got.columns) == list(range(1, k + 1))
+    assert np.abs(np.abs(got.to_numpy()) - np.abs(white)).max() < 1e-8
+    assert found[found.component == 1].sort_values("vec_id").deviation.astype(object).map(int).tolist() == deviation
+    assert whitening.identity_error(df, model) < 1e-10
+
+
+def test_few_equal_and_huge_vectors(spark):
+    assert whitening.whiten(table(spark, []), whitening.fit(table(spark, []))).count() == 0
+    assert whitening.identity_error(table(spark, []), whitening.fit(table(spark, []))) == 0
+    same = table(spark, [(i, [1.0, 2.0, 3.0]) for i in range(5)])
+    assert whitening.fit(same).n == 5 and whitening.whiten(same, whitening.fit(same)).count() == 0
+    line = table(spark, [(i % 4, [float(i % 4), 2.0 * (i % 4), 0.0]) for i in range(12)])
+    found = whitening.whiten(line, whitening.fit(line)).toPandas()
+    assert len(found) == 12 and set(found.component) == {1} and abs(found.whitened.var(ddof=0) - 1) < 1e-12
+    big = table(spark, [(1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [0.0, 5.0])])
+    model = whitening.fit(big)
+    rows = whitening.whiten(big, model).toPandas()
+    x = [[2**61 + 100_000, 100_000], [-(2**61) + 100_000, 101_024], [100_000, 105_120]]
+    sums = [sum(c) for c in zip(*x)]
+    want = [sum((3 * c - s) ** 2 for c, s in zip(r, sums)) for r in x]
+    assert rows[rows.component == 1].sort_values("vec_id").deviation.map(lambda v: None if pd.isna(v) else int(v)).tolist() == [v if v < 10**38 else None for v in want]
+
+
+def test_exact_sums_on_both_paths():
+    rng = np.random.default_rng(2)
+    for n, size in ((1000, 10**6), (10**12, 10**9), (3, 1 << 60)):
+        x = rng.integers(-size, size, (50, 6))
+        total = [int(s) for s in rng.integers(-size, size, 6)]
+        d, squares = whitening.deviations(x, n, total)
+        assert squares == [sum((n * int(c) - s) ** 2 for c, s in zip(row, total)) for row in x]
+        assert d.tolist() == [[float(n * int(c) - s) for c, s in zip(row, total)] for row in x]
+
+
+@pytest.mark.parametrize("kind", ["plain", "clusters", "diagonal", "graded", "one"])
+def test_leading_equals_numpy(kind):
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.standard_normal((60, 60)))[0]
+    spectrum = {
+        "plain": rng.random(60), "clusters": np.array([5.0] * 5 + [5 - 1e-12] * 4 + [1.0] * 51), "graded": 10.0 ** -np.arange(60),
+        "diagonal": np.array([3.0] * 3 + [2.0] * 57), "one": np.array([1.0]),
+    }[kind]
+    a = np.diag(spectrum) if kind in ("diagonal", "one") else q @ np.diag(spectrum) @ q.T
+    a = (a + a.T) / 2
+    k = min(8, len(a))
+    values, vectors = whitening.leading(a, k)
+    assert np.abs(values - np.linalg.eigvalsh(a)[::-1][:k]).max() < 1e-13 * spectrum.max()
+    assert np.abs(a @ vectors.T - vectors.T * values).max() < 1e-12 * spectrum.max() and np.abs(vectors @ vectors.T - np.eye(k)).max() < 1e-13
+
+
+def test_sturm_counts():
+    rng = np.random.default_rng(4)
+    d, e = rng.standard_normal(30), rng.standard_normal(29)
+    e[7] = 0
+    values = np.linalg.eigvalsh(np.diag(d) + np.diag(e, 1) + np.diag(e, -1))
+    at = np.linspace(-4, 4, 41)
+    assert whitening.count_below(d, e, at).tolist() == [(values < t).sum() for t in at]
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    found = QUERIES["op13_whitening"](spark, folder).toPandas()
+    source = pd.read_parquet(f"{folder}/embeddings.parquet")
+    n, deviation, white, shares = brute(np.stack(source.embedding))
+    assert (found.n == n).all() and len(found) == 8 * n and found.identity_error.nunique() == 1 and found.identity_error[0] < 1e-4
+    got = found.pivot(index="vec_id", columns="component", values="whitened").loc[source.vec_id].to_numpy()
+    assert np.abs(np.abs(got) - np.abs(white)).max() < 1e-8
+    assert found[found.component == 3].set_index("vec_id").deviation.loc[source.vec_id].tolist() == deviation
+    assert np.allclose(found.groupby("component").explained.first(), shares, rtol=1e-9)
