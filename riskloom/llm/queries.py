@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import (
-    embedding_dedup, language, nnls_packing, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup,
-    url_filters, whitening,
+    alignment, embedding_dedup, language, nnls_packing, packing, pieces, quality_classifier, quality_rules, simhash, substring_dedup,
+    suffix_dedup, url_filters, whitening,
 )
 from riskloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -107,6 +107,12 @@ def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(nnls_packing.pieces(docs, path), path)
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align(docs, packing.tokenizer_path("byte_bpe_50k.json"), packing.tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deviation is NULL where it does not fit 64 bits; deviation_exact has it up to 38 digits."""
