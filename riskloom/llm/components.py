@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from riskloom.runtime import shared_folder
+from riskloom.runtime import discard, shared_folder
 
 ROWS_PER_PART = 20_000
 
@@ -21,10 +21,15 @@ def sized(df: DataFrame, rows: int, per_part: int = ROWS_PER_PART) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows / per_part)))
 
 
-def store_marked(df: DataFrame) -> tuple[DataFrame, int, tuple]:
-    """Write ``df`` to the shared folder; the stored table, its rows, and a mark of its content taken while writing."""
+def store_marked(df: DataFrame, made: list[str] | None = None) -> tuple[DataFrame, int, tuple]:
+    """Write ``df`` to the shared folder; the stored table, its rows, and a mark of its content taken while writing.
+
+    Its path is added to ``made``.
+    """
     spark, seen = df.sparkSession, Observation()
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if made is not None:
+        made.append(path)
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"], (seen.get["n"], seen.get["x"])
 
@@ -44,9 +49,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
         .distinct()
     )
-    links, n, before = store_marked(links)
+    made: list[str] = []
+    links, n, before = store_marked(links, made)
     while n:
-        links, n, now = _small_star(_large_star(links, n), n)
+        links, n, now = _small_star(_large_star(links, n, made), n, made)
+        for path in made[:-1]:  # those that led to the newest
+            discard(edges.sparkSession, path)
+        made = made[-1:]
         if now == before:
             break
         before = now
@@ -55,14 +64,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def _large_star(links: DataFrame, n: int) -> DataFrame:
+def _large_star(links: DataFrame, n: int, made: list[str]) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = store_marked(sized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n))[0]
+    lowest = store_marked(sized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n), made)[0]
     moved = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-    return store_marked(sized(moved.distinct(), n))[0]
+    return store_marked(sized(moved.distinct(), n), made)[0]
 
 
-def _small_star(links: DataFrame, n: int) -> tuple[DataFrame, int, tuple]:
-    lowest = store_marked(sized(links.groupBy("u").agg(F.min("v").alias("m")), n))[0]
+def _small_star(links: DataFrame, n: int, made: list[str]) -> tuple[DataFrame, int, tuple]:
+    lowest = store_marked(sized(links.groupBy("u").agg(F.min("v").alias("m")), n), made)[0]
     moved = links.join(lowest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return store_marked(sized(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), n))
+    return store_marked(sized(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), n), made)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import packing, quality_classifier, quality_rules
-from test_simhash import slow_components, slow_fingerprint
+from test_shingle_sets import slow_groups
 from test_suffix_dedup import brute as without_strings
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -29,6 +29,8 @@ def corpus(spark, tmp_path_factory):
         labels.append((i, 0 if bad else 1, 0))
     shared = prose(rng, 90)
     rows += [(200 + i, f"{prose(rng, 60)} {shared} {prose(rng, 60)}") for i in range(6)]
+    words = rows[0][1].split()
+    rows += [(250 + k, " ".join(["other" if 20 <= j < 20 + k else w for j, w in enumerate(words)])) for k in (1, 2, 12, 30)]  # similarities on both sides of 0.8
     rows += [(300 + i, rows[0][1]) for i in range(9)] + [(301, rows[0][1]), (400, "too short"), (401, None), (402, ""), (None, prose(rng, 70)), (None, rows[1][1])]
     full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
     spark.createDataFrame(full, SCHEMA).write.parquet(f"{folder}/documents.parquet")
@@ -55,8 +57,7 @@ def test_stages_equal_brute_force(spark, corpus):
     assert {r[0] for r in ruled} == {r[0] for r in kept if len((r[1] or "").split()) >= 20}
 
     alone = stage(single, ruled)
-    fps = [slow_fingerprint(r[1]) for r in ruled]
-    parts = slow_components(dict(enumerate(fps)), 2)
+    parts = slow_groups([r[:2] for r in ruled])
     best = {}
     for n, r in enumerate(ruled):
         best[parts[n]] = min(best.get(parts[n], (True, 1 << 60)), (r[0] is None, r[0] or 0))
