@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from riskloom.llm import byte_bpe
 from riskloom.llm.texts import map_batches, slices
 from riskloom.runtime import store
 
-CHUNK = 3_000_000  # bytes of text that share a list of words; a longer text is a chunk of its own
+CHUNK = 1_000_000  # bytes of text that share a list of words; a longer text is a chunk of its own
 SEGMENT = 500_000  # characters of a text that are cut into words at a time, and words whose groups are spelled at a time
 INNER = re.compile(r"(?<=\S) (?=\S)")
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
@@ -52,17 +53,18 @@ class Tokenizers:
         known = {self.bytes_b[i]: i for i in reversed(order) if not self.b.is_control(i) and not self.b.is_unknown(i)}
         self.identity = np.array([known.get(raw, -1) for raw in self.a.bytes], np.int64)
 
-    def encode(self, words: list[str], odd: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each of ``words`` and then ``odd`` by A and by B, a blank before each; words have no white space at their ends nor blanks."""
-        both = words + odd
-        ids_b = [np.array(ids, np.int64) for ids in self.b.encode(both, num_threads=1)]
-        ids_a = []
-        if words:
-            # encoded in one go: A never joins over a blank before a word, so that each word begins at a token's begin
-            joined = self.a.plain_ids(" " + " ".join(words)).astype(np.int64)
-            ends = np.cumsum([1 + len(w.encode()) for w in words])
-            ids_a = np.split(joined, np.searchsorted(np.cumsum(self.size_a[joined]), ends[:-1], "right"))
-        return ids_a + [self.a.plain_ids(" " + w).astype(np.int64) for w in odd], ids_b
+    def encode(self, words: list[str], odd: list[str]) -> list[np.ndarray]:
+        """Ids of ``words`` and then ``odd``, a blank before each, by A and by B; words have no white space at their ends nor blanks."""
+        # A never joins over a blank before a word, so that they are encoded in one go
+        ids_a = [self.a.plain_ids(" " + " ".join(words))] if words else []
+        ids_b = chain.from_iterable(self.b.encode(words + odd, num_threads=1))
+        return [np.concatenate([np.zeros(0, np.int64), *ids_a, *(self.a.plain_ids(" " + w) for w in odd)]), np.fromiter(ids_b, np.int64)]
+
+    def gives_back(self, text: str) -> bool:
+        """Whether both spell ``text`` byte by byte."""
+        a, b = self.encode([], [text])
+        raw = b" " + text.encode()
+        return b"".join([self.a.bytes[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
 
 
 @cache
@@ -106,21 +108,17 @@ class Words:
     """
 
     def __init__(self, tokenizers: Tokenizers, words: list[str], odd: list[str]):
-        lists_a, lists_b = tokenizers.encode(words, odd)
         raw = [b" " + w.encode() for w in words + odd]
-        n = len(raw)
+        size = np.fromiter(map(len, raw), np.int64)
+        raw, n = b"".join(raw), len(raw)
         self.bad = np.zeros(n, bool)
-        flat = lambda lists: np.concatenate([np.zeros(0, np.int64), *lists])
-        back = [(own.__getitem__, flat(lists).tolist(), lists) for own, lists in ((tokenizers.a.bytes, lists_a), (tokenizers.bytes_b, lists_b))]
-        whole = b"".join(raw)
-        for get, ids, lists in back:
-            if b"".join(map(get, ids)) != whole:
-                self.bad |= np.array([b"".join(map(get, x.tolist())) != t for x, t in zip(lists, raw)], bool)
-        for w in np.flatnonzero(self.bad):
-            lists_a[w] = lists_b[w] = np.zeros(0, np.int64)
-        a, b = flat(lists_a), flat(lists_b)
+        a, b = tokenizers.encode(words, odd)
+        if any(b"".join(map(spell.__getitem__, ids.tolist())) != raw for spell, ids in ((tokenizers.a.bytes, a), (tokenizers.bytes_b, b))):
+            self.bad = np.array([not tokenizers.gives_back(w) for w in words + odd], bool)
+            good = lambda own, x: [w for w, bad in zip(own, x) if not bad]
+            a, b = tokenizers.encode(good(words, self.bad), good(odd, self.bad[len(words) :]))
         ends_a, ends_b = np.cumsum(tokenizers.size_a[a]), np.cumsum(tokenizers.size_b[b])
-        word_ends = np.cumsum(np.array([len(t) for t in raw], np.int64) * ~self.bad)
+        word_ends = np.cumsum(size * ~self.bad)
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         cut_a, cut_b = (np.concatenate(([0], np.searchsorted(e, ends, "right"))) for e in (ends_a, ends_b))
         groups = np.concatenate(([0], np.searchsorted(ends, word_ends, "right")))  # every word ends with a group
@@ -143,7 +141,10 @@ class Words:
         """``a1,a2|b1;a3|b2,b3`` of each word."""
         a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         cut_a, cut_b, groups = cut_a.tolist(), cut_b.tolist(), groups.tolist()
-        each = [f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        each = [
+            f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(a[p:q])}|{','.join(b[r:s])}"
+            for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])
+        ]
         return [";".join(each[p:q]) for p, q in zip(groups, groups[1:])]
 
 
@@ -192,17 +193,30 @@ class Chunk:
         return np.bincount(held % max(len(al.keys), 1), minlength=len(al.keys))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed, with their number."""
+    raw = x.astype("<i8" if x.dtype == np.int64 and len(x) and int(x.max()) >> 31 else "<i4").tobytes()
+    return len(x).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n, size = (int.from_bytes(raw[k : k + 8], "little") for k in (0, 8))
+    kind = "<i8" if n and size == 8 * n else "<i4"
+    return np.frombuffer(pa.decompress(raw[16:], size, "zstd", asbytes=True) if n else b"", kind).astype(np.int64)
+
+
 PARTS = (
-    "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, word binary, count binary, "
-    "pair binary, times binary, bound binary, keys binary, shuffled array<bigint>, documents array<bigint>, ids array<int>, ns array<bigint>"
+    "chunk bigint, place int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, words bigint, word binary, count binary, "
+    "pair binary, times binary, links binary, keys binary, shuffled array<bigint>, documents array<bigint>, ids array<int>, ns array<bigint>"
 )
+HEAD = ["word", "count", "pair", "times", "links", "keys"]
 
 
 def parts(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """A row for each text with its numbers and words, those of a chunk under one number ``chunk``.
+    """A row for each text with its numbers, those of a chunk under one number ``chunk``.
 
-    The first row of a chunk also has the links of its words, and its pairs outside the identity map with the number of texts that hold each.
-    A last row of each task (chunk NULL) has how many texts hold each pair of the identity map, by A's id.
+    The first row of a chunk also has the words of all its texts, the links of each word, and the pairs outside the identity map with the number of texts
+    that hold each. A last row of each task (chunk NULL) has how many texts hold each pair of the identity map, by A's id.
     """
     names = [f.split()[0] for f in PARTS.split(", ")]
 
@@ -212,7 +226,7 @@ def parts(docs: DataFrame, a: str, b: str) -> DataFrame:
 
         def rows(values: dict, n: int) -> pa.RecordBatch:
             columns = [values.get(c, [None] * n) for c in names]
-            kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+            kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
             return pa.RecordBatch.from_arrays([pa.array(x, kinds[f.split()[1]]) for x, f in zip(columns, PARTS.split(", "))], names=names)
 
         for batch in batches:
@@ -223,16 +237,14 @@ def parts(docs: DataFrame, a: str, b: str) -> DataFrame:
                 same = tokenizers.identity[id_a] == id_b
                 np.add.at(vector, id_a[same], in_texts[same])
                 first = lambda x: [x, *[None] * (n - 1)]
-                words, counts = chunk.word.astype("<i4"), chunk.count.astype("<i4")
                 yield rows(
                     {
-                        "chunk": [number] * n, "doc_id": part.column("doc_id").to_pylist(), "groups_sha256": chunk.digests,
-                        **{c: x.tolist() for c, x in zip(NUMBERS, chunk.numbers)},
-                        "word": [words[p:q].tobytes() for p, q in zip(chunk.bound, chunk.bound[1:])],
-                        "count": [counts[p:q].tobytes() for p, q in zip(chunk.bound, chunk.bound[1:])],
-                        "pair": first(al.pair.astype("<i4").tobytes()), "times": first(al.times.astype("<i4").tobytes()),
-                        "bound": first(al.bound.astype("<i4").tobytes()), "keys": first(al.keys.astype("<i8").tobytes()),
-                        "shuffled": first(al.keys[~same]), "documents": first(in_texts[~same]),
+                        "chunk": [number] * n, "place": range(n), "doc_id": part.column("doc_id").to_pylist(), "groups_sha256": chunk.digests,
+                        "words": np.diff(chunk.bound), **dict(zip(NUMBERS, chunk.numbers)),
+                        # steps between the sorted words of a text are small
+                        "word": first(packed(np.diff(chunk.word, prepend=0).astype(np.int32))), "count": first(packed(chunk.count.astype(np.int32))),
+                        "pair": first(packed(al.pair)), "times": first(packed(al.times)), "links": first(packed(np.diff(al.bound))),
+                        "keys": first(packed(np.diff(al.keys, prepend=0))), "shuffled": first(al.keys[~same]), "documents": first(in_texts[~same]),
                     },
                     n,
                 )
@@ -268,21 +280,18 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     pulled = pairs.select("chunk", "pos", "key").join(counts, "key").select(F.col("chunk").alias("of"), "pos", "n")
 
     def score(own: pa.Table, counted: pa.Table) -> pa.Table:
-        own = own.combine_chunks()
-        head = own.filter(pc.is_valid(own.column("keys"))).to_pylist()[0]
-        pair, times, bound = (np.frombuffer(head[c], "<i4").astype(np.int64) for c in ("pair", "times", "bound"))
-        keys = np.frombuffer(head["keys"], "<i8")
+        own = own.combine_chunks().sort_by("place")
+        word, n, pair, times, links, keys = (unpacked(own.column(c)[0].as_py()) for c in HEAD)
+        word, keys, bound = np.cumsum(word), np.cumsum(keys), np.concatenate(([0], np.cumsum(links)))
         regular, best = known.value
         id_a = keys >> 32
         count = regular[id_a]
         outside = np.zeros(counted.num_rows, np.int64)
         outside[counted.column("pos").to_numpy()] = counted.column("n").to_numpy()
         count[load(a, b).identity[id_a] != (keys & 0xFFFFFFFF)] = outside
-        by_word = [summed(times * count[pair], bound), summed(times * (count == best[id_a])[pair], bound)]
-        lists = own.column("word").to_pylist()
-        words, n = (np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (lists, own.column("count").to_pylist()))
-        edge = np.cumsum([0, *(len(x) // 4 for x in lists)])
-        count_sum, n_best = (summed(x[words] * n, edge) for x in by_word)
+        edge = np.concatenate(([0], np.cumsum(own.column("words").to_numpy())))
+        by_word = summed(times * count[pair], bound), summed(times * (count == best[id_a])[pair], bound)
+        count_sum, n_best = (summed(x[word] * n, edge) for x in by_word)
         result = own.select(["doc_id", *NUMBERS]).append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
         return result.append_column("groups_sha256", own.column("groups_sha256"))
 
