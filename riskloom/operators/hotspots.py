@@ -89,19 +89,19 @@ def top_clusters(ranked: DataFrame, share: float = 0.8, by: Sequence[str] = ())
     )
 
 
-def fix_clusters(changes: DataFrame, labels: DataFrame) -> DataFrame:
+def fix_clusters(changes: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per fix and touched cluster: ``commit, label, churn``."""
-    per_file = changes.groupBy("commit", "file_id").agg(F.sum("churn").alias("churn"))
+    per_file = changes.groupBy(*by, "commit", "file_id").agg(F.sum("churn").alias("churn"))
     return (
-        per_file.join(labels.select("file_id", "label"), "file_id")
-        .groupBy("commit", "label")
+        per_file.join(labels.select(*by, "file_id", "label"), [*by, "file_id"])
+        .groupBy(*by, "commit", "label")
         .agg(F.sum("churn").alias("churn"))
     )
 
 
-def fixes(per_cluster: DataFrame) -> DataFrame:
+def fixes(per_cluster: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per fix: number of clusters touched, the first of them and the churn."""
-    return per_cluster.groupBy("commit").agg(
+    return per_cluster.groupBy(*by, "commit").agg(
         F.count(F.lit(1)).alias("clusters"), F.min("label").alias("label"), F.sum("churn").alias("churn")
     )
 
@@ -212,18 +212,21 @@ def stored_top(results: DataFrame, project: str) -> DataFrame:
     return listed.select("label", (F.col("at") + 1).alias("rank"))
 
 
-def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame, project: str) -> DataFrame:
-    """How the clusters chosen on one release hold the fixes of the next.
+_HELD = ["cluster_sum", "file_sum", "bf_in", "bf_out", "bc_top", "bc_all", "bfr_top", "bfr_all", "bftop_in_bfin"]
+
+
+def next_release_reports(changes: DataFrame, labels: DataFrame, top: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How the clusters chosen on one release hold the fixes of the next, a row for each project of ``by`` that has labels.
 
     Churn is credited to a cluster only by fixes that stay inside it; the total counts all fixes.
     """
-    fixed = fixes(fix_clusters(changes, labels)).join(
-        top.select("label", F.lit(True).alias("is_top")), "label", "left"
+    fixed = fixes(fix_clusters(changes, labels, by), by).join(
+        top.select(*by, "label", F.lit(True).alias("is_top")), [*by, "label"], "left"
     )
     inside = F.col("clusters") == 1
     in_top = inside & F.col("is_top").isNotNull()
     zero = F.lit(0).cast("bigint")
-    sums = fixed.agg(
+    sums = fixed.groupBy(*by).agg(
         F.count_if(inside).alias("bf_in"),
         F.count_if(~inside).alias("bf_out"),
         F.count_if(in_top).alias("bf_top"),
@@ -231,19 +234,22 @@ def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame, p
         F.sum(F.when(in_top, F.col("churn")).otherwise(zero)).alias("bc_in_top"),
         F.sum("churn").alias("bc"),
     )
-    sizes = labels.agg(
-        F.struct((F.max("label") + 1).cast("bigint").alias("clusters"), F.count(F.lit(1)).alias("files")).alias("s")
-    ).scalar()
-    all_fixes = F.col("bf_in") + F.col("bf_out")
-    return sums.withColumn("_s", sizes).select(
-        F.lit(project).alias("project"),
-        F.col("_s.clusters").alias("cluster_sum"),
-        F.col("_s.files").alias("file_sum"),
-        "bf_in",
-        "bf_out",
-        C.ratio(F.col("bc_in_top"), F.col("bc")).alias("bc_top"),
-        C.ratio(F.col("bc_in"), F.col("bc")).alias("bc_all"),
-        C.ratio(F.col("bf_top"), all_fixes).alias("bfr_top"),
-        C.ratio(F.col("bf_in"), all_fixes).alias("bfr_all"),
-        C.ratio(F.col("bf_top"), F.col("bf_in")).alias("bftop_in_bfin"),
+    sizes = labels.groupBy(*by).agg(
+        (F.max("label") + 1).cast("bigint").alias("cluster_sum"), F.count(F.lit(1)).alias("file_sum")
     )
+    if by:  # a project without fixes has a row as well
+        sums = sizes.join(sums, list(by), "left").withColumns({c: F.coalesce(c, zero) for c in ("bf_in", "bf_out", "bf_top")})
+    else:
+        sums = attach(sums, sizes, "_s").select("*", "_s.*")
+    all_fixes = F.col("bf_in") + F.col("bf_out")
+    rates = {
+        "bc_top": C.ratio(F.col("bc_in_top"), F.col("bc")), "bc_all": C.ratio(F.col("bc_in"), F.col("bc")),
+        "bfr_top": C.ratio(F.col("bf_top"), all_fixes), "bfr_all": C.ratio(F.col("bf_in"), all_fixes),
+        "bftop_in_bfin": C.ratio(F.col("bf_top"), F.col("bf_in")),
+    }
+    return sums.withColumns(rates).select(*by, *_HELD)
+
+
+def next_release_report(changes: DataFrame, labels: DataFrame, top: DataFrame, project: str) -> DataFrame:
+    """The row of one project, with its name."""
+    return next_release_reports(changes, labels, top).select(F.lit(project).alias("project"), *_HELD)

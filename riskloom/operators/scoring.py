@@ -93,6 +93,9 @@ def weighted_sum(
     return framed.withColumn(score, total).drop("_w")
 
 
-def best_k(scored: DataFrame, score: str = "score") -> DataFrame:
-    """The k with the highest score; the smallest one wins a tie."""
-    return scored.orderBy(F.col(score).desc(), "k").limit(1).select("k", score)
+def best_k(scored: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """The k with the highest score; the smallest one wins a tie. With ``by``, that of each group."""
+    if not by:
+        return scored.orderBy(F.col(score).desc(), "k").limit(1).select("k", score)
+    order = F.struct(F.coalesce(F.col(score), F.lit(float("-inf"))), -F.col("k"))
+    return scored.groupBy(*by).agg(F.max_by(F.struct("k", score), order).alias("_b")).select(*by, "_b.k", f"_b.{score}")

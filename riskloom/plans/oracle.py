@@ -181,7 +181,7 @@ def sql(needs: str, body: str) -> str:
         if name in wanted:
             place(name)
     head = ",\n".join(f"{name} AS ({_CTES[name][1]})" for name in done)
-    recursive = "RECURSIVE " if "tree" in done else ""
+    recursive = "RECURSIVE " if {"tree", "forest"} & set(done) else ""
     return f"WITH {recursive}{head}\n{body}" if head else body
 
 
@@ -400,7 +400,7 @@ ORACLE["cluster_data_matrix"] = sql(
 )
 
 # Average linkage, one merge per step: all rows of a step are pairs of nodes (a < b), and nodes (a = b) with their measures.
-_CTES["tree_files"] = ("files", "SELECT f.file_id, f.loc FROM files f WHERE f.file_id IN (SELECT vec_id FROM embeddings)")
+_CTES["tree_files"] = ("files", "SELECT e.vec_id AS file_id, coalesce(f.loc, 0) AS loc FROM embeddings e LEFT JOIN files f ON f.file_id = e.vec_id")
 _CTES["tree_edges"] = ("edges tree_files", """SELECT e.* FROM edges e WHERE e.a IN (SELECT file_id FROM tree_files)
     AND e.b IN (SELECT file_id FROM tree_files)""")
 _CTES["tree_start"] = ("tree_files tree_edges", """SELECT p.a, p.b, p.s, 1::BIGINT AS c, coalesce(e.w, 0)::BIGINT AS w, 0::BIGINT AS files, 0::BIGINT AS loc, 0::BIGINT AS degree
@@ -492,3 +492,67 @@ ORACLE["project_top_clusters"] = sql("p_ranked", """SELECT project, label, "rank
        CAST(round(sum(bug_files) OVER (PARTITION BY project) * 0.8) AS BIGINT) AS threshold FROM p_ranked
      WINDOW w AS (PARTITION BY project ORDER BY round(score, 12) DESC, label))
     WHERE running - bug_files < threshold OR "rank" = 1""")
+
+# Several projects with a dendrogram each: one merge per project and step.
+_PROJECT = "CASE WHEN {0} % 2 = 0 THEN 'core' ELSE 'team-' || ({0} % 10) END"
+_CTES["forest_files"] = ("tree_files", f"SELECT {_PROJECT.format('file_id')} AS project, file_id, loc FROM tree_files")
+_CTES["forest_edges"] = ("tree_edges", f"""SELECT * FROM tree_edges WHERE {_PROJECT.format('a')} = {_PROJECT.format('b')}""")
+_CTES["forest_start"] = ("forest_files forest_edges", f"""SELECT p.project, p.a, p.b, p.s, 1::BIGINT AS c, coalesce(e.w, 0)::BIGINT AS w, 0::BIGINT AS files, 0::BIGINT AS loc, 0::BIGINT AS degree
+    FROM (SELECT {_PROJECT.format('x.vec_id')} AS project, x.vec_id AS a, y.vec_id AS b,
+            (100 - round_even(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 100, 0))::BIGINT AS s
+          FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND {_PROJECT.format('x.vec_id')} = {_PROJECT.format('y.vec_id')}) p
+    LEFT JOIN forest_edges e ON e.a = p.a AND e.b = p.b
+    UNION ALL SELECT project, file_id, file_id, 0, 0, 0, 1, loc, coalesce(d.degree, 0)::BIGINT FROM forest_files LEFT JOIN
+      (SELECT file_id, sum(w) AS degree FROM (SELECT a AS file_id, w FROM forest_edges UNION ALL SELECT b, w FROM forest_edges) GROUP BY 1) d USING (file_id)""")
+_CTES["forest"] = ("forest_start", """SELECT 0 AS step, project, a, b, s, c, w, files, loc, degree FROM forest_start
+    UNION ALL
+    SELECT step + 1, project, na, nb, (CASE WHEN na = nb THEN 0 ELSE sum(s) END)::BIGINT, (CASE WHEN na = nb THEN 0 ELSE sum(c) END)::BIGINT,
+      sum(w)::BIGINT, sum(files)::BIGINT, sum(loc)::BIGINT, sum(degree)::BIGINT
+    FROM (SELECT step, project, s, c, w, files, loc, degree, least(x, y) AS na, greatest(x, y) AS nb FROM
+            (SELECT t.step, t.project, t.s, t.c, t.w, t.files, t.loc, t.degree, CASE WHEN t.a = m.m.b THEN m.m.a ELSE t.a END AS x,
+                    CASE WHEN t.b = m.m.b THEN m.m.a ELSE t.b END AS y
+             FROM forest t JOIN (SELECT project, min({'h': s / c, 'a': a, 'b': b}) AS m FROM forest WHERE a < b GROUP BY 1) m ON m.project = t.project))
+    GROUP BY step, project, na, nb""")
+_CTES["forest_sizes"] = ("forest_files", "SELECT project, count(*) AS n, sum(loc)::BIGINT AS loc FROM forest_files GROUP BY 1")
+_CTES["forest_base"] = ("forest forest_sizes", """SELECT f.project, z.n - step AS k, w AS in_change, degree - 2 * w AS out_change, files AS in_file,
+    z.n - files AS out_file, f.loc AS in_loc, z.loc - f.loc AS out_loc FROM forest f JOIN forest_sizes z ON z.project = f.project WHERE a = b""")
+_CTES["forest_rates"] = ("forest_base", _rates("forest_base"))
+_CTES["forest_sweep"] = ("forest_rates", "SELECT project, k, " + ", ".join(f"coalesce(sum({c}), 0) / k AS {c}" for c in _RATES) + """,
+    CAST(sum(CASE WHEN in_file BETWEEN 5 AND 20 THEN in_file ELSE 0 END) AS DOUBLE) / sum(in_file) AS ned FROM forest_rates WHERE k >= 2 GROUP BY 1, 2""")
+_CRITERIA = [*_RATES, "ned"]
+_CTES["forest_eligible"] = ("forest_sweep", "SELECT * FROM forest_sweep WHERE " + " AND ".join(f"{c} <> 0" for c in _CRITERIA))
+_CTES["forest_scaled"] = ("forest_eligible", "SELECT project, k, " + ", ".join(
+    f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN 0.994 * ({f'max({c}) OVER w - {c}' if c.startswith('out') else f'{c} - min({c}) OVER w'})"
+    f" / (max({c}) OVER w - min({c}) OVER w) + 0.002 END AS {c}" for c in _CRITERIA) + " FROM forest_eligible WINDOW w AS (PARTITION BY project)")
+_CTES["forest_long"] = ("forest_scaled", " UNION ALL ".join(f"SELECT project, k, '{c}' AS criterion, {c} AS x FROM forest_scaled" for c in _CRITERIA))
+_CTES["forest_weights"] = ("forest_long", _CTES["p_weights"][1].replace("p_long", "forest_long").replace("1.0::DOUBLE / 3", "1.0::DOUBLE / 5"))
+_CTES["forest_best"] = ("forest_long forest_weights forest_sizes", """SELECT s.project, z.n AS files, s.k, s.score FROM
+    (SELECT l.project, l.k, sum(coalesce(CASE WHEN l.criterion LIKE 'out%' THEN -x ELSE x END * weight, 0)) AS score FROM forest_long l
+     JOIN forest_weights w ON w.project = l.project AND w.criterion = l.criterion GROUP BY 1, 2) s JOIN forest_sizes z ON z.project = s.project
+    QUALIFY row_number() OVER (PARTITION BY s.project ORDER BY s.score DESC, s.k) = 1""")
+ORACLE["project_selection"] = sql("forest_best", "SELECT project, files, files AS iteration, k::BIGINT AS f_optimal, round(score, 8) AS score FROM forest_best")
+_CTES["forest_merges"] = ("forest", "SELECT project, step + 1 AS step, m.a AS a, m.b AS b FROM (SELECT project, step, min({'h': s / c, 'a': a, 'b': b}) AS m FROM forest WHERE a < b GROUP BY 1, 2)")
+_CTES["forest_roots"] = ("forest_best forest_files forest_merges", """SELECT f.project, b.files - b.k AS last, file_id, file_id AS root FROM forest_files f JOIN forest_best b ON b.project = f.project
+    UNION ALL SELECT r.project, r.last, r.file_id, m.a FROM forest_roots r JOIN forest_merges m ON m.project = r.project AND m.b = r.root AND m.step <= r.last""")
+ORACLE["project_labels"] = sql("forest_roots", """SELECT project, file_id, dense_rank() OVER (PARTITION BY project ORDER BY root) - 1 AS label
+    FROM (SELECT project, file_id, min(root) AS root FROM forest_roots GROUP BY 1, 2)""")
+
+for _name in ("space", "decision", "scaled", "long", "weights", "ranked"):
+    _needs, _text = _CTES[f"p_{_name}"]
+    _turn = lambda x: x.replace("p_type", _PROJECT.format("p_partkey")).replace("p_", "v_").replace("v_partkey", "p_partkey").replace("fixes", "fixes_v1")
+    _CTES[f"v_{_name}"] = (_turn(_needs), _turn(_text).replace("exv_", "exp_"))
+_CTES["v_top"] = ("v_ranked", """SELECT project, label FROM (SELECT *, row_number() OVER w AS "rank", sum(bug_files) OVER w AS running,
+      CAST(round(sum(bug_files) OVER (PARTITION BY project) * 0.8) AS BIGINT) AS threshold FROM v_ranked
+      WINDOW w AS (PARTITION BY project ORDER BY round(score, 12) DESC, label))
+    WHERE running - bug_files < threshold OR "rank" = 1""")
+_CTES["v_perfix"] = ("fixes_next labels", f"""SELECT project, "commit", count(*) AS clusters, min(label) AS label, CAST(sum(churn) AS BIGINT) AS churn FROM
+    (SELECT {_PROJECT.format('file_id')} AS project, "commit", label, sum(churn) AS churn FROM fixes_next JOIN labels USING (file_id) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+ORACLE["project_next_release"] = sql("v_top v_perfix labels", f"""SELECT z.project, z.cluster_sum, z.file_sum, coalesce(bf_in, 0) AS bf_in, coalesce(bf_out, 0) AS bf_out,
+      round(CASE WHEN bc <> 0 THEN bc_in_top / bc END, 8) AS bc_top, round(CASE WHEN bc <> 0 THEN bc_in / bc END, 8) AS bc_all,
+      round(CASE WHEN bf_in + bf_out > 0 THEN bf_top / (bf_in + bf_out) END, 8) AS bfr_top, round(CASE WHEN bf_in + bf_out > 0 THEN bf_in / (bf_in + bf_out) END, 8) AS bfr_all,
+      round(CASE WHEN bf_in > 0 THEN bf_top / bf_in END, 8) AS bftop_in_bfin
+    FROM (SELECT {_PROJECT.format('file_id')} AS project, max(label) + 1 AS cluster_sum, count(*) AS file_sum FROM labels GROUP BY 1) z
+    LEFT JOIN (SELECT f.project, count(*) FILTER (clusters = 1) AS bf_in, count(*) FILTER (clusters > 1) AS bf_out,
+        count(*) FILTER (clusters = 1 AND t.label IS NOT NULL) AS bf_top, CAST(coalesce(sum(churn) FILTER (clusters = 1), 0) AS BIGINT) AS bc_in,
+        CAST(coalesce(sum(churn) FILTER (clusters = 1 AND t.label IS NOT NULL), 0) AS BIGINT) AS bc_in_top, CAST(sum(churn) AS BIGINT) AS bc
+      FROM v_perfix f LEFT JOIN v_top t ON t.project = f.project AND t.label = f.label GROUP BY 1) s ON s.project = z.project""")

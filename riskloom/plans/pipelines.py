@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import cochange, hierarchy, hotspots, kmeans, quality, scoring, similarity, text
-from riskloom.runtime import settle, store
+from riskloom.runtime import attach, settle, store
 
 
 class RiskRanking(NamedTuple):
@@ -36,17 +36,17 @@ def rank_risk(
     return RiskRanking(space, decision, ranked, hotspots.top_clusters(ranked, share, by))
 
 
-def score_cuts(per_k: DataFrame, compat_sign_flip: bool = True) -> DataFrame:
-    """Scaled criteria and score per k.
+def score_cuts(per_k: DataFrame, compat_sign_flip: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Scaled criteria and score per k, for each project of ``by`` by itself.
 
     The out-change criteria are scaled so that less is better and then counted with a minus sign, which
     rewards more out-change; ``compat_sign_flip=False`` counts them as scaled.
     """
     per_k = settle(per_k)
-    scaled = scoring.minmax_scale(per_k.select("k", *quality.CRITERIA), quality.DIRECTIONS)
-    weights = scoring.entropy_weights_row(scaled, quality.CRITERIA)
+    scaled = scoring.minmax_scale(per_k.select(*by, "k", *quality.CRITERIA), quality.DIRECTIONS, by=by)
+    weights = scoring.entropy_weights_row(scaled, quality.CRITERIA, by)
     negated = ["out_change_file_r", "out_change_loc_r"] if compat_sign_flip else []
-    return scoring.weighted_sum(scaled, quality.CRITERIA, weights, negated)
+    return scoring.weighted_sum(scaled, quality.CRITERIA, weights, negated, by=by)
 
 
 def labelled_criteria(labels_k: DataFrame, loc: DataFrame, touched: DataFrame) -> DataFrame:
@@ -60,26 +60,37 @@ class Dendrogram(NamedTuple):
     leaves: DataFrame
 
 
-def dendrogram(vectors: DataFrame, loc: DataFrame, touched: DataFrame) -> Dendrogram:
+def dendrogram(vectors: DataFrame, loc: DataFrame, touched: DataFrame, by: Sequence[str] = ()) -> Dendrogram:
     """Average-linkage dendrogram of the files that have a vector, with their co-change.
 
-    ``vectors``: ``file_id, vec``; ``loc``: ``file_id, loc``; ``touched``: distinct ``commit, file_id``.
+    ``vectors``: ``file_id, vec``; ``loc``: ``file_id, loc``; ``touched``: distinct ``commit, file_id``. A file without lines of code
+    counts with none. ``by`` names the columns of ``vectors`` that tell projects apart (file ids do so as well); all are
+    clustered in the same rounds, and a commit counts in each project for itself.
     """
-    files = settle(vectors.select("file_id").join(loc, "file_id"))
-    within = settle(touched.join(files.select("file_id"), "file_id", "left_semi"))
-    leaves = settle(hierarchy.leaf_nodes(files, cochange.cochange_degree(within)))
-    pairs = hierarchy.linkage_pairs(
-        similarity.cosine_pairs(vectors.join(files.select("file_id"), "file_id", "left_semi")), cochange.cochange(within)
-    )
-    return Dendrogram(hierarchy.agglomerate(pairs, leaves), leaves)
-
-
-def select_clusters(tree: Dendrogram, compat_sign_flip: bool = True) -> DataFrame:
-    """Best cut of a dendrogram over all k: ``files, iteration, f_optimal, score``."""
-    per_k = quality.keep_complete(hierarchy.sweep_criteria(tree.merges, tree.leaves))
-    best = scoring.best_k(score_cuts(per_k, compat_sign_flip))
-    n = tree.leaves.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return best.select(n.alias("files"), n.alias("iteration"), F.col("k").alias("f_optimal"), "score")
+    files = settle(vectors.select(*by, "file_id").join(loc.select("file_id", "loc"), "file_id", "left").withColumn("loc", F.coalesce("loc", F.lit(0))))
+    if by:
+        touched = touched.join(files.select(*by, "file_id"), "file_id").select(F.struct(*by, "commit").alias("commit"), "file_id")
+    else:
+        touched = touched.join(files.select("file_id"), "file_id", "left_semi")
+    within = settle(touched)
+    leaves = settle(hierarchy.leaf_nodes(files, cochange.cochange_degree(within), by))
+    pairs = hierarchy.linkage_pairs(similarity.cosine_pairs(vectors, by=by), cochange.cochange(within))
+    return Dendrogram(hierarchy.agglomerate(pairs, leaves, by), leaves)
+
+
+def select_clusters(tree: Dendrogram, compat_sign_flip: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Best cut of a dendrogram over all k: ``files, iteration, f_optimal, score``; with ``by``, of each project that has a complete cut."""
+    per_k = quality.keep_complete(hierarchy.sweep_criteria(tree.merges, tree.leaves, by=by), by)
+    best = scoring.best_k(score_cuts(per_k, compat_sign_flip, by), by=by)
+    sizes = tree.leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("_t.n")
+    return attach(best, sizes, "_t", by).select(*by, n.alias("files"), n.alias("iteration"), F.col("k").alias("f_optimal"), "score")
+
+
+def chosen_labels(tree: Dendrogram, best: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Labels ``(by, file_id, label)`` of the best cut of each project (``best`` from ``select_clusters``)."""
+    roots = hierarchy.cut_by(tree.merges, tree.leaves, best.select(*by, F.col("f_optimal").alias("k")), by)
+    return roots.select(*by, "file_id", "label")
 
 
 def result_row(best: DataFrame, project: str, version: str, run_time: float) -> DataFrame:

@@ -490,6 +490,26 @@ def cluster_selection(t: Tables) -> DataFrame:
     return pipelines.select_clusters(_tree(t)).select("files", "iteration", "f_optimal", _r("score"))
 
 
+def _trees(t: Tables) -> tuple[pipelines.Dendrogram, DataFrame]:
+    """Dendrograms of all projects, and the best cut of each."""
+    tree = pipelines.dendrogram(t.vectors().withColumn("project", t.project(F.col("file_id"))), t.loc(), t.touches(), by=["project"])
+    return tree, pipelines.select_clusters(tree, by=["project"])
+
+
+@query
+def project_selection(t: Tables) -> DataFrame:
+    """Best cut of each project, all in the same rounds; one project has half of all files."""
+    return _trees(t)[1].select("project", "files", "iteration", "f_optimal", _r("score"))
+
+
+@query
+def project_labels(t: Tables) -> DataFrame:
+    """Labels of the best cut of each project."""
+    tree, best = _trees(t)
+    labels = pipelines.chosen_labels(tree, settle(best), ["project"])
+    return labels.select("project", "file_id", F.col("label").cast("bigint").alias("label"))
+
+
 @query
 def kmeans_labels(t: Tables) -> DataFrame:
     return kmeans.kmeans_labels(settle(similarity.distance_rows(t.vectors())), KMEANS_KS)
@@ -655,6 +675,16 @@ def next_release_report(t: Tables) -> DataFrame:
     return report.select(*[_r(c) if kind == "double" else F.col(c) for c, kind in report.dtypes])
 
 
+@query
+def project_next_release(t: Tables) -> DataFrame:
+    """The same for all projects in one go; one project has half of all files."""
+    keyed = lambda df: df.withColumn("project", t.project(F.col("file_id")))
+    labels = keyed(t.labels())
+    top = pipelines.rank_risk(keyed(t.fixes_v1()), labels, keyed(t.loc()), by=["project"]).top
+    report = hotspots.next_release_reports(keyed(t.fixes_next()), labels, top, by=["project"])
+    return report.select(*[_r(c) if kind == "double" else F.col(c) for c, kind in report.dtypes])
+
+
 # ---- comparison ----------------------------------------------------------------------------
 
 METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

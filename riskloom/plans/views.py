@@ -39,6 +39,11 @@ class Tables:
     def loc(self) -> DataFrame:
         return self("part").select(F.col("p_partkey").alias("file_id"), F.col("p_size").cast("bigint").alias("loc"))
 
+    @staticmethod
+    def project(file_id: Column) -> Column:
+        """Name of a file's project: one has half of all files, five have the others."""
+        return F.when(file_id % 2 == 0, "core").otherwise(F.concat(F.lit("team-"), (file_id % 10).cast("string")))
+
     def commits(self) -> DataFrame:
         return spread(self("orders")).select(
             F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("commiter"), F.col("o_orderdate").alias("date"),

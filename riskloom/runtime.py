@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16_000_000
 NAME_BYTES = 256
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and stored tables, which every executor can reach.
@@ -102,3 +106,15 @@ def attach(df: DataFrame, values: DataFrame, name: str, by: Sequence[str] = ())
 def scalar_struct(df: DataFrame):
     """The single row of ``df`` as a struct-valued scalar subquery column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path, wherever the driver was started.
+
+    On a cluster whose machines do not share that path the package has to be shipped (``--py-files``).
+    """
+    known = df.sparkSession.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return df.mapInArrow(fn, schema)
