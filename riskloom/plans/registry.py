@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 EMBEDDING_DIM = 64
 KMEANS_KS = [5, 10, 20]
+KMEANS_STARTS = 10
 CUT_KS = [5, 10, 20, 50, 100]
 
 
@@ -520,6 +521,15 @@ def kmeans_restarts(t: Tables) -> DataFrame:
     return kmeans.kmeans_labels(settle(similarity.distance_rows(t.vectors())), KMEANS_KS, restarts=5)
 
 
+@query
+def kmeans_selection(t: Tables) -> DataFrame:
+    """Best k of k-means over all k from 2 to the number of distinct rows."""
+    loc = t.vectors().select("file_id").join(t.loc(), "file_id", "left").select("file_id", F.coalesce("loc", F.lit(0)).alias("loc"))
+    touched = settle(t.touches().join(loc.select("file_id"), "file_id", "left_semi"))
+    best = pipelines.select_kmeans(settle(similarity.distance_rows(t.vectors())), settle(loc), touched, restarts=KMEANS_STARTS)
+    return best.select("files", "iteration", "f_optimal", _r("score"))
+
+
 @query
 def kmeans_sweep_limit(t: Tables) -> DataFrame:
     return kmeans.sweep_limit(similarity.distance_rows(t.vectors()))
