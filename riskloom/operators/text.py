@@ -6,21 +6,21 @@ files collapses before every shuffle and no file's words are held in one group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
 from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions import columns as C
 from riskloom.functions.stopwords import ENGLISH
+from riskloom.operators import krylov
 from riskloom.operators.ordering import running_totals
-from riskloom.runtime import settle, store
+from riskloom.runtime import settle, small_side, store, store_counted
 
-CELLS_PER_PARTITION = 1_000_000
 KEPT_TYPES = ["Comment", "Identifier"]
 
 
@@ -133,38 +133,25 @@ def tfidf_l2(tf: DataFrame, n_files: Column) -> DataFrame:
 def lsa(weights: DataFrame, components: int = 100, decimals: int = 2) -> DataFrame:
     """Truncated SVD of a long (file, word, weight) matrix: ``file_id, vec`` with U*S rounded.
 
-    The matrix is not centred. Signs of the components are arbitrary. One solver serves all sizes: it runs a
-    small job per Lanczos step, so the rows are cached in partitions that are as few as their size allows, and
-    keeps vectors as long as the vocabulary at the driver.
+    The matrix is not centred. Signs of the components are arbitrary; those beyond the rank are zero. Words stay in the tasks, the driver
+    holds some hundred numbers for each file.
     """
-    from pyspark.mllib.linalg import Vectors, VectorUDT
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-
     spark = weights.sparkSession
-    weights = settle(weights)
-    terms = running_totals(weights.select("word").distinct(), [F.col("word")], rank="term")
-    n_terms, n_files = terms.count(), weights.select("file_id").distinct().count()
-    k = min(components, n_terms, n_files)
-    indexed = weights.join(terms, "word")
-    sparse = F.udf(lambda cells: Vectors.sparse(n_terms, [c.i for c in cells], [c.weight for c in cells]), VectorUDT())
-    cell = F.struct((F.col("term") - 1).cast("int").alias("i"), "weight")
-    rows = (
-        indexed.groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        .select("file_id", sparse("cells").alias("row"))
-        .repartition(max(4, math.ceil(weights.count() / CELLS_PER_PARTITION)))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    matrix = IndexedRowMatrix(rows)
-    svd = matrix.computeSVD(k, computeU=True)
-    strengths = [float(x) for x in svd.s]
-    result = spark.createDataFrame(
-        svd.U.rows.map(lambda r: (r.index, [round(float(u) * s, decimals) for u, s in zip(r.vector, strengths)])),
-        "file_id BIGINT, vec ARRAY<DOUBLE>",
-    )
-    result = settle(result)
-    rows.unpersist()
-    return result
+    weights, count = store_counted(weights)
+    files = settle(running_totals(weights.select("file_id").distinct(), [F.col("file_id")], rank="row"))
+    ids = files.select("row", "file_id").orderBy("row").toArrow().column("file_id")
+    n, k = len(ids), min(components, weights.select("word").distinct().count(), len(ids))
+    placed = weights.join(small_side(files, n), "file_id").select((F.col("row") - 1).alias("row"), F.col("word").alias("col"), F.col("weight").alias("value"))
+    blocks = store(krylov.column_blocks(placed, count))
+    blocks = blocks.repartition(max(1, min(blocks.count(), 2 * spark.sparkContext.defaultParallelism))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        values, vectors = krylov.leading(blocks, n, k) if n else (np.zeros(0), np.zeros((0, 0)))
+    finally:
+        blocks.unpersist()
+    found = np.zeros((n, k))
+    found[:, : len(values)] = np.round(vectors * np.sqrt(values), decimals) + 0.0
+    offsets = pa.array(np.arange(n + 1) * k, pa.int32())
+    return store(spark.createDataFrame(pa.table({"file_id": ids, "vec": pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))})))
 
 
 def doc_embed(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.stopwords import ENGLISH
 from riskloom.operators import text
 from riskloom.plans import pipelines
+from riskloom.plans.views import Tables
 
 TEXTS = {
     0: "The quick brown fox. the getUserName x 12 and Über-cool",
@@ -94,6 +95,36 @@ def test_lsa_keeps_products(spark):
     assert got @ got.T == pytest.approx(want, abs=1e-4)
 
 
+def test_lsa_of_the_documents_equals_numpy(spark):
+    """Inner products of all components against a dense solver, on the test documents."""
+    folder = "/root/testdata/sf0.001"
+    t = Tables(spark, folder)
+    weights = text.tfidf_l2(t.tf(), t.n_documents()).cache()
+    cells = weights.toPandas()
+    files, words = cells.file_id.astype("category"), cells.word.astype("category")
+    m = np.zeros((len(files.cat.categories), len(words.cat.categories)))
+    m[files.cat.codes, words.cat.codes] = cells.weight
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    rows = {r.file_id: r.vec for r in text.lsa(weights, decimals=10).collect()}
+    got = np.array([rows[i] for i in files.cat.categories])
+    # a component is free in sign, and within equal strengths in direction
+    apart = s[99] - s[100] > 1e-6
+    assert np.sqrt((got * got).sum(0)) == pytest.approx(s[:100], abs=1e-7)
+    if apart:
+        assert np.abs(got @ got.T - (u[:, :100] * s[:100] ** 2) @ u[:, :100].T).max() < 1e-6
+    weights.unpersist()
+
+
+def test_lsa_of_low_rank_and_of_nothing(spark):
+    cells = [(i, w, 1.0 + i % 2) for i in range(30) for w in ("a", "b", "c")]
+    frame = spark.createDataFrame(cells, "file_id BIGINT, word STRING, weight DOUBLE")
+    rows = {r.file_id: r.vec for r in text.lsa(frame, components=3, decimals=6).collect()}
+    got = np.array([rows[i] for i in range(30)])
+    m = np.array([[1.0 + i % 2] * 3 for i in range(30)])
+    assert got.shape == (30, 3) and np.abs(got @ got.T - m @ m.T).max() < 1e-4
+    assert text.lsa(frame.limit(0), components=3).count() == 0
+
+
 def test_vectorizers_by_name(spark, corpus):
     vectors = spark.createDataFrame(list(VECTORS.items()), "token STRING, vec ARRAY<DOUBLE>")
     for name in ("c2v_tfidf", "c2v"):
