@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import cochange, hierarchy, hotspots, kmeans, quality, scoring, similarity, text
+from riskloom.operators import cochange, hierarchy, hotspots, kmeans, quality, scoring, similarity, splitting, text
 from riskloom.runtime import attach, settle, store
 
 
@@ -106,9 +106,12 @@ VECTORIZERS = ("c2v_tfidf", "c2v", "tfidf_lsa", "doc_embed")
 
 def file_vectors(
     texts: DataFrame, id_col: str, text_col: str, vectorizer: str = "c2v_tfidf",
-    token_vectors: DataFrame | None = None, dim: int | None = None, split_identifiers: bool = True,
+    token_vectors: DataFrame | None = None, dim: int | None = None, split_identifiers: bool = True, split_glued: int | None = None,
 ) -> DataFrame:
-    """``file_id, vec`` by name of the vectoriser; identifiers are split into their words first."""
+    """``file_id, vec`` by name of the vectoriser; identifiers are split into their words first.
+
+    With ``split_glued`` words glued without a change of case are split as well, into words that the texts hold that often (not for doc_embed).
+    """
     if vectorizer not in VECTORIZERS:
         raise ValueError(f"unknown vectorizer {vectorizer!r}; choose one of {VECTORIZERS}")
     if vectorizer == "doc_embed":
@@ -116,6 +119,8 @@ def file_vectors(
     files = texts.select(F.col(id_col).alias("file_id"))
     n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
     tf = store(text.text_words(texts, id_col, text_col, split_identifiers=split_identifiers))  # read by the weights and by the sums
+    if split_glued is not None:
+        tf = store(splitting.split_words(tf, store(splitting.splits(tf, splitting.unigrams(tf, split_glued)))))
     if vectorizer == "tfidf_lsa":
         return text.lsa(text.tfidf_l2(tf, n))
     if token_vectors is None or dim is None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    cochange, compare, hierarchy, history, hotspots, kmeans, paths, quality, scoring, similarity, text,
+    cochange, compare, hierarchy, history, hotspots, kmeans, paths, quality, scoring, similarity, splitting, text,
 )
 from riskloom.operators.history import history_summary, release_diff
 from riskloom.plans import pipelines
@@ -402,6 +402,14 @@ def split_identifiers(t: Tables) -> DataFrame:
     return t("part").select(F.col("p_partkey").alias("file_id"), F.array_join(C.split_identifier(camel), " ").alias("words"))
 
 
+@query
+def split_glued(t: Tables) -> DataFrame:
+    """Every distinct word of the documents, cut into words that the documents use."""
+    tf = store(t.tf())
+    found = splitting.splits(tf, splitting.unigrams(tf))
+    return found.select("word", F.array_join("parts", " ").alias("words"))
+
+
 @query
 def idf(t: Tables) -> DataFrame:
     return text.idf(t.tf(), t.n_documents()).select("word", "df", _r("idf"))

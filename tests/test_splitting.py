@@ -1,0 +1,65 @@
+"""Splitting of glued words against all ways to split them."""
+
+import itertools
+import random
+
+from riskloom.operators import splitting
+from riskloom.plans import pipelines
+from riskloom.plans.registry import QUERIES
+
+
+def all_splits(word):
+    for n in range(len(word)):
+        for cuts in itertools.combinations(range(1, len(word)), n):
+            yield [word[a:b] for a, b in zip((0, *cuts), (*cuts, len(word)))]
+
+
+def brute(word, cost):
+    def rank(parts):
+        starts = list(itertools.accumulate((len(p) for p in parts[:-1]), initial=0))
+        return sum(cost[p] for p in parts), len(parts), starts[::-1]
+
+    ways = [p for p in all_splits(word) if all(x in cost for x in p)]
+    return min(ways, key=rank) if ways else [word]
+
+
+def test_best_split_equals_all_splits(spark):
+    rng = random.Random(2)
+    stems = ["get", "file", "name", "nam", "efile", "set", "fil", "ename", "aaa", "aaaa", "the", "rein", "there", "ine"]
+    cost = {s: rng.randint(1, 9) * 100 for s in stems} | {"therein": 500}
+    words = {"".join(rng.choice(stems) for _ in range(rng.randint(1, 3)))[:12] for _ in range(300)} | {"x", "", "aaaaaaa", "therein", "getxname", "ge"}
+    table = spark.createDataFrame(list(cost.items()), "piece STRING, cost BIGINT")
+    frame = spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "word STRING")
+    got = {r.word: r.parts for r in splitting.splits(frame, table).collect()}
+    assert set(got) == words
+    for w in words:
+        assert got[w] == (brute(w, cost) if w else [""]), w
+    assert splitting.splits(frame.limit(0), table).count() == 0
+
+
+def test_pieces_are_learned_from_the_corpus(spark):
+    rows = [(i, w, n) for i, (w, n) in enumerate([("get", 40), ("file", 30), ("name", 30), ("getfilename", 1), ("filename", 4), ("of", 90), ("zebra", 2)])]
+    tf = spark.createDataFrame(rows, "file_id BIGINT, word STRING, tf BIGINT")
+    table = splitting.unigrams(tf)
+    assert {r.piece for r in table.collect()} == {"get", "file", "name"}
+    found = splitting.splits(tf, table).cache()
+    assert {r.word: r.parts for r in found.collect()} == {
+        "get": ["get"], "file": ["file"], "name": ["name"], "getfilename": ["get", "file", "name"], "filename": ["file", "name"], "of": ["of"], "zebra": ["zebra"],
+    }
+    counts = {(r.file_id, r.word): r.tf for r in splitting.split_words(tf, found).collect()}
+    assert counts[3, "name"] == 1 and counts[4, "file"] == 4 and (3, "getfilename") not in counts and sum(counts.values()) == 197 + 2 + 4
+    found.unpersist()
+
+
+def test_query_and_vectors_use_the_splits(spark):
+    found = QUERIES["split_glued"](spark, "/root/testdata/sf0.001")
+    rows = found.collect()
+    assert len(rows) == len({r.word for r in rows}) and all(r.words.replace(" ", "") == r.word for r in rows)
+    docs = spark.createDataFrame([(1, "get file name"), (2, "getfile get file"), (3, None)], "doc_id BIGINT, text STRING")
+    vectors = spark.createDataFrame([("get", [1.0, 0.0]), ("file", [0.0, 1.0]), ("name", [1.0, 1.0])], "token STRING, vec ARRAY<DOUBLE>")
+    known = lambda **x: {r.file_id: r.vec for r in pipelines.file_vectors(docs, "doc_id", "text", "c2v", vectors, 2, **x).collect()}
+    assert known()[2] == [0.5, 0.5] and known(split_glued=2)[2] == [0.5, 0.5]
+    assert known()[1] == known(split_glued=2)[1] and known(split_glued=2)[3] == [0.0, 0.0]
+    glued = spark.createDataFrame([(1, "getfile get"), (2, "get file"), (3, "file")], "doc_id BIGINT, text STRING")
+    one = lambda **x: {r.file_id: r.vec for r in pipelines.file_vectors(glued, "doc_id", "text", "c2v", vectors, 2, **x).collect()}[1]
+    assert one() == [1.0, 0.0] and [round(v, 9) for v in one(split_glued=2)] == [round(2 / 3, 9), round(1 / 3, 9)]
