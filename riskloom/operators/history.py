@@ -129,10 +129,23 @@ def issue_hits(commits: DataFrame, issues: DataFrame, exact: bool = False) -> Da
 
 
 def match_issues(commits: DataFrame, issues: DataFrame, exact: bool = False) -> DataFrame:
-    """Bug-fix commits: each commit whose message names at least one issue, once."""
-    hits = issue_hits(commits, issues, exact).select("commit").distinct()
-    fixes = commits.join(hits, "commit", "left_semi")
-    return fixes.groupBy("commit").agg(F.any_value(F.struct(*commits.columns)).alias("c")).select("c.*")
+    """Bug-fix commits: each commit whose message names at least one issue, once.
+
+    Of several records of a commit the one that names the first issue stays, by ``pos`` of ``issues`` where there is one and else by the key;
+    then the first by ``pos`` of ``commits``. Records that agree in all that are told apart by a hash.
+    """
+    columns = commits.columns
+    records = commits.withColumn("_r", F.xxhash64(*columns))
+    named = F.struct("commit", "_r").alias("commit")
+    hits = issue_hits(records.select(named, "message"), issues, exact)
+    if "pos" in issues.columns:
+        hits = hits.join(issues.groupBy("issue_key").agg(F.min("pos").alias("_at")), "issue_key")
+    else:
+        hits = hits.withColumn("_at", F.col("issue_key"))
+    first = hits.groupBy(F.col("commit._r").alias("_r")).agg(F.min("_at").alias("_at"))
+    order = ["_at", *(["pos"] if "pos" in columns else []), "_r"]
+    fixes = records.join(first, "_r").withColumn("_order", F.struct(*order))
+    return fixes.groupBy("commit").agg(F.min_by(F.struct(*columns), "_order").alias("c")).select("c.*")
 
 
 def issue_counts(commits: DataFrame, issues: DataFrame, exact: bool = False) -> DataFrame:

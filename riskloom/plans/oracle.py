@@ -556,3 +556,6 @@ ORACLE["project_next_release"] = sql("v_top v_perfix labels", f"""SELECT z.proje
         count(*) FILTER (clusters = 1 AND t.label IS NOT NULL) AS bf_top, CAST(coalesce(sum(churn) FILTER (clusters = 1), 0) AS BIGINT) AS bc_in,
         CAST(coalesce(sum(churn) FILTER (clusters = 1 AND t.label IS NOT NULL), 0) AS BIGINT) AS bc_in_top, CAST(sum(churn) AS BIGINT) AS bc
       FROM v_perfix f LEFT JOIN v_top t ON t.project = f.project AND t.label = f.label GROUP BY 1) s ON s.project = z.project""")
+
+ORACLE["cochange_increment"] = sql("touches", """SELECT x.file_id AS a, y.file_id AS b, count(*) AS w FROM touches x JOIN touches y
+    ON x."commit" = y."commit" AND x.file_id < y.file_id JOIN orders ON o_orderkey = x."commit" WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1, 2""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    cochange, compare, hierarchy, history, hotspots, kmeans, paths, quality, scoring, similarity, splitting, text,
+    cochange, compare, hierarchy, history, hotspots, increments, kmeans, paths, quality, scoring, similarity, splitting, text,
 )
 from riskloom.operators.history import history_summary, release_diff
 from riskloom.plans import pipelines
@@ -382,6 +382,18 @@ def cochange_matrix(t: Tables) -> DataFrame:
     return cochange.cochange(t.touches())
 
 
+@query
+def cochange_increment(t: Tables) -> DataFrame:
+    """Co-change of the newer release, from a stored matrix of the older one and what is added and dropped."""
+    dates = t("orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("date"))
+    touched = settle(t.touches().join(dates, "commit"))
+    old, new = touched.filter(F.col("date") < _ts(V1_END)).drop("date"), touched.filter(F.col("date") >= _ts(V2_START)).drop("date")
+    path = new_path(t.spark)
+    increments.put(increments.delta(old), path, 0)
+    increments.put(increments.delta(*increments.changes_between(old, new)), path, 1)
+    return increments.matrix(t.spark, path)
+
+
 @query
 def cochange_degree(t: Tables) -> DataFrame:
     return cochange.cochange_degree(t.touches())
