@@ -14,14 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from riskloom.llm.components import connected_components
 from riskloom.llm.texts import map_batches
 from riskloom.runtime import store
 
 THRESHOLD = 0.93
-TREES = 12
-SPILL = 0.035  # half-width of the zone around a split, in units of length 1, from which both sides get a vector
+TREES = 8
+SPILL = 0.02  # half-width of the zone around a split, in units of length 1, from which both sides get a vector
 LEAF = 2_000  # vectors that a leaf should hold, all labels together
 SAMPLE = 50_000  # expected bound of the vectors on which the splits are fitted
 BLOCK = 1_024  # rows of a leaf and label that are compared at once; larger ones go in pairs of blocks
@@ -70,7 +71,7 @@ class Tree:
             waiting.append((self.children[node][1], rows[p >= -self.spill]))
 
 
-def unit(rows: list, dim: int | None = None) -> np.ndarray:
+def unit(rows: list | np.ndarray, dim: int | None = None) -> np.ndarray:
     """Rows scaled to length 1 in double precision, by way of their largest component."""
     x = np.array(rows, np.float64).reshape(len(rows), -1 if dim is None else dim)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -83,13 +84,19 @@ def fit_forest(x: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, s
     return [Tree(x, leaf * len(x) / max(rows, 1), spill, rng) for _ in range(trees)]
 
 
+def _kind(vectors: DataFrame) -> str:
+    """The type that vectors are sent in: float if that is what they are, else double. They are compared in double precision."""
+    kind = vectors.schema["embedding"].dataType
+    return "float" if getattr(kind, "elementType", None) == FloatType() else "double"
+
+
 def _classes(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, k1, k2``: equal vectors of a label share the keys; NULL keys for vectors that link with nothing."""
     v = F.col("embedding")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     return vectors.select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), v.cast("array<double>").alias("embedding"),
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), v.cast(f"array<{_kind(vectors)}>").alias("embedding"),
         F.when(usable, F.xxhash64(v)).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), v)).alias("k2"),
     )
 
@@ -97,6 +104,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 def _place(classes: DataFrame, forest: list[Tree], dim: int) -> DataFrame:
     """One row per vector and leaf: ``label, dim, leaf, node, copies, embedding, leaves`` (all leaves of the vector)."""
     shared = classes.sparkSession.sparkContext.broadcast(forest)
+    kind = "<f4" if _kind(classes) == "float" else "<f8"
     schema = "label string, dim int, leaf int, node bigint, copies bigint, embedding binary, leaves array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +126,7 @@ def _place(classes: DataFrame, forest: list[Tree], dim: int) -> DataFrame:
                 order = np.lexsort((leaf, at))
                 at, leaf = at[order], leaf[order]
                 lists = np.split(leaf, np.cumsum(np.bincount(at, minlength=len(x)))[:-1])
-                raw = [v.tobytes() for v in x]
+                raw = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
                 out = pd.DataFrame({
                     "label": part["label"].to_numpy()[at], "dim": np.int32(size), "leaf": leaf.astype(np.int32), "node": part["node"].to_numpy()[at],
                     "copies": part["copies"].to_numpy()[at], "embedding": [raw[i] for i in at], "leaves": [lists[i] for i in at],
@@ -148,7 +156,9 @@ def _compare(threshold: float):
         """
         leaf, left, right = int(frame["leaf"].iat[0]), int(frame["low"].iat[0]), int(frame["high"].iat[0])
         frame = frame.sort_values("node", kind="stable")
-        x = np.frombuffer(b"".join(frame["embedding"]), np.float64).reshape(len(frame), -1)
+        raw = b"".join(frame["embedding"])
+        kind = "<f4" if len(raw) == 4 * len(frame) * int(frame["dim"].iat[0]) else "<f8"
+        x = unit(np.frombuffer(raw, kind).reshape(len(frame), -1))
         node, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
         linked = x @ x.T >= threshold
         np.fill_diagonal(linked, False)

@@ -81,3 +81,29 @@ def test_boundary_pairs_meet_in_a_leaf():
             at[members, leaf] = True
         met |= (at[:2000] & at[20_000:]).any(1)
     assert met.mean() >= 0.98
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_ten_levels_with_the_default_spill(spark, kind):
+    """Clustered vectors of 64 dimensions with partners at a cosine just over the threshold, in trees of ten levels."""
+    rng = np.random.default_rng(6)
+    n, pairs = 7000, 700
+    centres = rng.standard_normal((120, 64))
+    x = ed.unit(centres[rng.integers(0, 120, n)] + 0.6 * rng.standard_normal((n, 64)))
+    noise = rng.standard_normal((pairs, 64))
+    noise -= (noise * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.932 * x[:pairs] + np.sqrt(1 - 0.932**2) * noise])
+    both = both.astype(np.float32).astype(float) if kind == "float" else both
+    trees = ed.fit_forest(ed.unit(both), len(both), leaf=7)
+    assert min(t.leaves for t in trees) >= 2**10
+    placed = sum(len(rows) for t in trees for _, rows in t.route(ed.unit(both)))
+    assert placed < 40 * len(both)
+    unit = ed.unit(both)
+    linked = unit @ unit.T >= ed.THRESHOLD
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+    assert want.sum() >= 2 * pairs
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], f"vec_id bigint, embedding array<{kind}>, label int")
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(frame, leaf=7).collect()}
+    assert all(got[i] <= want[i] for i in range(len(both))) and sum(got.values()) >= 0.98 * want.sum()
