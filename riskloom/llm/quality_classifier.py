@@ -2,7 +2,7 @@
 
 Positive-unlabelled learning: a linear model minimises the non-negative unbiased risk, in which the
 loss on negatives is what the unlabelled texts have beyond the share that positives must have of it. The
-class prior is estimated; negative labels take part in that estimate only.
+class prior is estimated from the same two samples; negative labels are not needed.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SAMPLE = 8_000  # expected bound of the positives, and of the unlabelled texts,
 DENSE = 15
 WIDTH = DENSE + HASHED
 THRESHOLD = 0.3
+LEAST_TAIL = 0.6  # share of the held-back positives in the sets of rows that the prior is read off
 
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>@^~_=+\\/{}[]", np.uint8)
@@ -99,8 +100,35 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return model
 
 
-def estimate_prior(labelled: DataFrame) -> float:
-    """Share of label 1 among the labelled rows ``quality``, drawn to one half by one row of each; NULLs do not count."""
+def mixture_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = LEAST_TAIL, rounds: int = 2) -> float:
+    """The share of positives among the unlabelled rows, estimated without negatives.
+
+    A model of half of each tells the other halves apart. In any set of rows, the unlabelled share is at least the prior times the share of
+    the positives, so that the prior is at most their ratio; of the sets of rows that score highest, with ``least`` of the positives or more, the smallest ratio is
+    taken, each share moved by half its standard error against the noise of a minimum. The model is then fitted with that prior, and
+    the prior read off again. Without positives or unlabelled rows it is one half.
+    """
+    half = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
+    found = 0.5
+    if min(len(h) for own in half for h in own) == 0:
+        return found
+    error = lambda share, n: 0.5 * np.sqrt(share * (1 - share) / n)
+    for _ in range(rounds):
+        model = fit_nnpu(half[0][0], half[1][0], found)
+        p, u = np.sort(model.score(half[0][1])), np.sort(model.score(half[1][1]))
+        above_p = 1 - np.arange(len(p)) / len(p)  # share of the positives at or above each of their scores
+        above_u = 1 - np.searchsorted(u, p) / len(u)
+        some = above_p >= least
+        ratio = (above_u + error(above_u, len(u))) / np.maximum(above_p - error(above_p, len(p)), 1e-9)
+        found = float(np.clip(ratio[some].min(), 0.01, 0.99))
+    return found
+
+
+def labelled_prior(labelled: DataFrame) -> float:
+    """Share of label 1 among the labelled rows ``quality``, drawn to one half by one row of each; NULLs do not count.
+
+    For labels of both kinds that are drawn like the texts.
+    """
     row = labelled.agg(F.count("quality").alias("n"), F.coalesce(F.sum(F.when(F.col("quality") == 1, 1)), F.lit(0)).alias("ones")).first()
     return (row.ones + 1) / (row.n + 2)
 
@@ -120,22 +148,21 @@ def _matrix(texts: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows.to_pylist()), np.float32).reshape(-1, WIDTH)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), both already limited to training rows.
 
-    Positives are texts labelled 1, the unlabelled are any texts. Of each about ``sample`` are taken, by a hash
+    Positives are texts labelled 1, the unlabelled are any texts; labels of 0 are not used. The share of positives among the texts is ``prior``, or
+    estimated from these two (``mixture_prior``). Of each about ``sample`` are taken, by a hash
     of doc_id; only their features reach the driver (``sample`` rows of ``WIDTH`` floats). Labels of other
-    values than 0 and 1, NULL labels and NULL doc_ids are ignored; a doc_id labelled twice counts twice.
+    values, NULL labels and NULL doc_ids are ignored; a doc_id labelled twice counts twice.
     """
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
-    prior = estimate_prior(known)
-    ones = known.filter("quality = 1").select("doc_id")
+    ones = labels.filter("doc_id IS NOT NULL AND quality = 1").select("doc_id")
     n_ones, n_docs = ones.count(), docs.count()
     texts = docs.select("doc_id", "text")
     chosen = _share(n_ones, sample, 1)
     positive = _matrix(texts.filter(chosen).join(ones.filter(chosen), "doc_id"))
     unlabelled = _matrix(texts.filter(_share(n_docs, sample, 2)))
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, mixture_prior(positive, unlabelled) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
