@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
     others = [c for c in carry if c != "text"]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    return per_slice(texts, run, "doc_id bigint, score double" + fields(texts, carry))
+    return per_slice(texts, run, fields(texts, carry, "doc_id bigint, score double"))
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.texts import unclashing
+
 SPACE = r"\x20\x09-\x0D"
 REPEAT_WINDOW = 8
 MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -94,6 +96,7 @@ def ledger(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     measures zero everywhere. Other columns of ``docs`` are left out, save those named in ``carry``.
     """
     carry = carry or []
+    unclashing(carry, ["doc_id", *MEASUREMENTS, "failures"])
     texts = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
     # generated rather than projected, so that a filter on the result is not pushed down with all that it is made of
     values = F.struct(*MEASUREMENTS)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components, sized, store_marked
-from riskloom.llm.texts import fields, per_slice, utf8
+from riskloom.llm.texts import fields, per_slice, unclashing, utf8
 from riskloom.runtime import store
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *map(batch.column, carry)], names=["doc_id", "fp", *carry])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    return per_slice(texts, run, "doc_id bigint, fp bigint" + fields(texts, carry))
+    return per_slice(texts, run, fields(texts, carry, "doc_id bigint, fp bigint"))
 
 
 def references(radius: int = RADIUS, per_block: int = PER_BLOCK) -> list[list[int]]:
@@ -136,6 +136,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: list[str] | No
     fingerprint zero and link like any other. Repeated rows share a component; a NULL doc_id gets its
     component but never names one (a component of such rows only has a NULL id). Empty in, empty out.
     """
+    unclashing(list(carry or []), ["doc_id", "fp", "group", "component_id"])
     marked = store(fingerprints(docs, carry))
     classes, n, _ = store_marked(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = store(sized(connected_components(linked(classes.select("fp"), n, radius)), n))

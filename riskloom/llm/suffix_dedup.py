@@ -178,6 +178,7 @@ def remove(docs: DataFrame, spans: DataFrame, carry: list[str] | None = None) ->
     Columns of ``docs`` named in ``carry`` are handed on.
     """
     carry = carry or []
+    schema = fields(docs, carry, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string")
     lists = store(spans.groupBy("row").agg(F.collect_set(F.struct("low", "end")).alias("spans")))
     joined = windows.with_lists(windows.rows_of(docs, carry), lists, "left").select("doc_id", "text", "spans", *carry)
 
@@ -201,8 +202,7 @@ def remove(docs: DataFrame, spans: DataFrame, carry: list[str] | None = None) ->
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", *carry],
         )
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string"
-    return per_slice(joined, run, schema + fields(joined, carry))
+    return per_slice(joined, run, schema)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tree_rows: int = TREE_ROWS) -> DataFrame:

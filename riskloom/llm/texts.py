@@ -53,12 +53,17 @@ def per_slice(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return map_batches(df, run, schema)
 
 
-def fields(df: DataFrame, names: list[str]) -> str:
-    """Schema text of some columns, for operators that hand columns of their input on.
+def fields(df: DataFrame, names: list[str], own: str) -> str:
+    """Schema text of an operator's ``own`` columns and those of its input that it hands on; see ``unclashing``."""
+    unclashing(names, [f.split()[0] for f in own.split(", ")])
+    return own + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
-    Such columns must not have the names of the operator's own.
-    """
-    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+def unclashing(names: list[str], own: list[str]) -> None:
+    """Raise if a column to hand on has the name of an operator's own, or is named twice: the result could not tell them apart."""
+    clash = sorted({c for c in names if c.lower() in {o.lower() for o in own} or names.count(c) > 1})
+    if clash:
+        raise ValueError(f"columns {clash} cannot be handed on beside {own}; rename them first")
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
