@@ -21,15 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and stored tables, which every executor can reach.
 
     It is the one of ``spark.checkpoint.dir``. Where that is unset, a folder below the warehouse
-    is set, by Hadoop's path rules and thus in the store the warehouse is in.
+    is set, by Hadoop's path rules and thus in the store the warehouse is in. On a cluster whose warehouse is a folder of
+    one machine, that would not be shared, so it raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(configured or below_warehouse(sc.master, spark.conf.get("spark.sql.warehouse.dir")))
     return sc.getCheckpointDir()
 
 
+def below_warehouse(master: str, warehouse: str) -> str:
+    """The folder to use where none is set."""
+    local_store = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if local_store and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is on one machine")
+    return f"{warehouse}/_checkpoints"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import cochange, text
-from riskloom.runtime import store
+from riskloom.runtime import below_warehouse, store
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -56,3 +56,11 @@ def test_hot_word(small_parts):
 def test_hot_commit(small_parts):
     touched = hot_rows(small_parts, "commit").select("commit", "file_id")
     assert split(cochange.cochange_degree(touched))
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    assert below_warehouse("local[8]", "file:/tmp/w") == "file:/tmp/w/_checkpoints"
+    assert below_warehouse("yarn", "hdfs://store/w") == "hdfs://store/w/_checkpoints"
+    for master, folder in (("yarn", "file:/tmp/w"), ("spark://host:7077", "/tmp/w"), ("local-cluster[2,1,1024]", "file:///tmp/w")):
+        with pytest.raises(ValueError):
+            below_warehouse(master, folder)
