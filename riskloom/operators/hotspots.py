@@ -140,32 +140,34 @@ def _top_list(top: DataFrame):
     return F.transform(ordered, lambda x: x["label"]).alias("top_buggy_cluster")
 
 
-def risk_report(
-    changes: DataFrame, labels: DataFrame, loc: DataFrame, decision: DataFrame, top: DataFrame, project: str
+def risk_reports(
+    changes: DataFrame, labels: DataFrame, loc: DataFrame, decision: DataFrame, top: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row that says how much of the files, lines, churn and fixes the top clusters hold.
+    """How much of the files, lines, churn and fixes the top clusters hold, a row for each project of ``by`` that has labels.
 
-    ``decision`` holds the criteria as counted, not scaled, and ``top`` is the result of ``top_clusters``.
+    ``decision`` holds the criteria as counted, not scaled, and ``top`` is the result of ``top_clusters``; a project
+    without them holds nothing in them.
     """
-    per_cluster = settle(fix_clusters(changes, labels))
-    fixed = fixes(per_cluster)
+    key, zero = [*by, "label"], F.lit(0).cast("bigint")
+    per_cluster = settle(fix_clusters(changes, labels, by))
+    fixed = fixes(per_cluster, by)
     inside = F.col("clusters") == 1
-    fix_totals = fixed.agg(
+    fix_totals = fixed.groupBy(*by).agg(
         F.count_if(inside).alias("bf_in"), F.count_if(~inside).alias("bf_out"), F.sum("churn").alias("churn")
     )
-    files = labels.groupBy("label").agg(F.count(F.lit(1)).alias("files"))
-    lines = labels.join(loc, "file_id").groupBy("label").agg(F.sum("loc").alias("loc"))
-    bf = fixed.filter(inside).groupBy("label").agg(F.count(F.lit(1)).alias("bf"))
-    bc = per_cluster.groupBy("label").agg(F.sum("churn").alias("bc"))
-    densities = decision.select("label", "bug_density_file", "bug_density_loc")
+    files = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("files"))
+    lines = labels.join(loc, [*by, "file_id"]).groupBy(*key).agg(F.sum("loc").alias("loc"))
+    bf = fixed.filter(inside).groupBy(*key).agg(F.count(F.lit(1)).alias("bf"))
+    bc = per_cluster.groupBy(*key).agg(F.sum("churn").alias("bc"))
+    densities = decision.select(*key, "bug_density_file", "bug_density_loc")
     whole = (
-        files.join(lines, "label", "left").join(bf, "label", "left").join(bc, "label", "left")
-        .join(densities, "label", "left")
-        .join(top.select("label", "rank", "running", "threshold", "bug_space_files"), "label", "left")
+        files.join(lines, key, "left").join(bf, key, "left").join(bc, key, "left")
+        .join(densities, key, "left")
+        .join(top.select(*key, "rank", "running", "threshold", "bug_space_files"), key, "left")
     )
     is_top = F.col("rank").isNotNull()
     pick = lambda c: F.sum(F.when(is_top, F.coalesce(c, F.lit(0))))
-    sums = whole.agg(
+    sums = whole.groupBy(*by).agg(
         (F.max("label") + 1).cast("bigint").alias("cluster_sum"),
         F.sum("files").alias("file_sum"),
         F.sum("loc").alias("loc_sum"),
@@ -179,33 +181,39 @@ def risk_report(
         F.avg(F.when(is_top, F.col("bug_density_file"))).alias("bug_density_file_average"),
         F.avg(F.when(is_top, F.col("bug_density_loc"))).alias("bug_density_loc_average"),
     )
-    listed = top.agg(_top_list(top)).scalar()
-    row = sums.withColumn("_f", scalar_struct(fix_totals)).withColumn("top_buggy_cluster", listed)
-    all_fixes = F.col("_f.bf_in") + F.col("_f.bf_out")
+    row = attach(attach(sums, fix_totals, "_f", by), top.groupBy(*by).agg(_top_list(top)), "_l", by)
+    bf_in, bf_out = F.coalesce("_f.bf_in", zero), F.coalesce("_f.bf_out", zero)
     return row.select(
-        F.lit(project).alias("project"),
+        *by,
         "cluster_sum",
         "file_bs",
         "file_sum",
         C.ratio(F.col("file_bs"), F.col("file_sum")).alias("file_bs_share"),
-        F.col("_f.bf_in").alias("bf_in"),
-        F.col("_f.bf_out").alias("bf_out"),
+        bf_in.alias("bf_in"),
+        bf_out.alias("bf_out"),
         C.ratio(F.col("file_in_top_cluster"), F.col("file_sum")).alias("fr"),
         C.ratio(F.col("loc_top"), F.col("loc_sum")).alias("loc"),
         C.ratio(F.col("bc_top"), F.col("_f.churn")).alias("bc"),
-        C.ratio(F.col("bf_top"), all_fixes).alias("bfr"),
+        C.ratio(F.col("bf_top"), bf_in + bf_out).alias("bfr"),
         "bug_density_file_average",
         "bug_density_loc_average",
         C.ratio(F.col("bf_top"), F.col("file_in_top_cluster")).alias("density_bf_file"),
         C.ratio(F.col("bf_top"), F.col("loc_top")).alias("density_bf_loc"),
-        C.ratio(F.col("bf_top"), F.col("_f.bf_in")).alias("bfin_bfr"),
+        C.ratio(F.col("bf_top"), bf_in).alias("bfin_bfr"),
         "buggy_file_threshold",
         "current_accumulate_file",
         "file_in_top_cluster",
-        "top_buggy_cluster",
+        F.col("_l.top_buggy_cluster").alias("top_buggy_cluster"),
     )
 
 
+def risk_report(
+    changes: DataFrame, labels: DataFrame, loc: DataFrame, decision: DataFrame, top: DataFrame, project: str
+) -> DataFrame:
+    """The row of one project, with its name."""
+    return risk_reports(changes, labels, loc, decision, top).select(F.lit(project).alias("project"), "*")
+
+
 def stored_top(results: DataFrame, project: str) -> DataFrame:
     """Top clusters of a project from stored reports, ``label, rank``."""
     listed = results.filter(F.col("project") == project).select(F.posexplode("top_buggy_cluster").alias("at", "label"))

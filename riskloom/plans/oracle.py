@@ -541,7 +541,7 @@ for _name in ("space", "decision", "scaled", "long", "weights", "ranked"):
     _needs, _text = _CTES[f"p_{_name}"]
     _turn = lambda x: x.replace("p_type", _PROJECT.format("p_partkey")).replace("p_", "v_").replace("v_partkey", "p_partkey").replace("fixes", "fixes_v1")
     _CTES[f"v_{_name}"] = (_turn(_needs), _turn(_text).replace("exv_", "exp_"))
-_CTES["v_top"] = ("v_ranked", """SELECT project, label FROM (SELECT *, row_number() OVER w AS "rank", sum(bug_files) OVER w AS running,
+_CTES["v_top"] = ("v_ranked", """SELECT project, label, "rank", running, threshold, files FROM (SELECT *, sum(bug_files) OVER (PARTITION BY project)::BIGINT AS files, row_number() OVER w AS "rank", sum(bug_files) OVER w AS running,
       CAST(round(sum(bug_files) OVER (PARTITION BY project) * 0.8) AS BIGINT) AS threshold FROM v_ranked
       WINDOW w AS (PARTITION BY project ORDER BY round(score, 12) DESC, label))
     WHERE running - bug_files < threshold OR "rank" = 1""")
@@ -559,3 +559,25 @@ ORACLE["project_next_release"] = sql("v_top v_perfix labels", f"""SELECT z.proje
 
 ORACLE["cochange_increment"] = sql("touches", """SELECT x.file_id AS a, y.file_id AS b, count(*) AS w FROM touches x JOIN touches y
     ON x."commit" = y."commit" AND x.file_id < y.file_id JOIN orders ON o_orderkey = x."commit" WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1, 2""")
+_CTES["v_percl_v1"] = ("fixes_v1 labels", f"""SELECT {_PROJECT.format('file_id')} AS project, "commit", label, CAST(sum(churn) AS BIGINT) AS churn
+    FROM fixes_v1 JOIN labels USING (file_id) GROUP BY 1, 2, 3""")
+_CTES["v_perfix_v1"] = ("v_percl_v1", """SELECT project, "commit", count(*) AS clusters, min(label) AS label, CAST(sum(churn) AS BIGINT) AS churn FROM v_percl_v1 GROUP BY 1, 2""")
+_CTES["v_clusters"] = ("files labels v_top v_decision v_percl_v1 v_perfix_v1", f"""SELECT z.project, z.label, z.files, z.loc, b.bf, c.bc, d.bug_density_file, d.bug_density_loc,
+      t."rank", t.running, t.threshold, t.files AS space
+    FROM (SELECT {_PROJECT.format('file_id')} AS project, label, count(*) AS files, sum(loc)::BIGINT AS loc FROM labels JOIN files USING (file_id) GROUP BY 1, 2) z
+    LEFT JOIN (SELECT project, label, count(*) AS bf FROM v_perfix_v1 WHERE clusters = 1 GROUP BY 1, 2) b ON b.project = z.project AND b.label = z.label
+    LEFT JOIN (SELECT project, label, sum(churn)::BIGINT AS bc FROM v_percl_v1 GROUP BY 1, 2) c ON c.project = z.project AND c.label = z.label
+    LEFT JOIN v_decision d ON d.project = z.project AND d.label = z.label LEFT JOIN v_top t ON t.project = z.project AND t.label = z.label""")
+ORACLE["project_risk_report"] = sql("v_clusters", """SELECT s.project, cluster_sum, file_bs, file_sum, round(file_bs / file_sum, 8) AS file_bs_share,
+      coalesce(bf_in, 0) AS bf_in, coalesce(bf_out, 0) AS bf_out, round(file_top / file_sum, 8) AS fr, round(loc_top / loc_sum, 8) AS loc, round(bc_top / churn, 8) AS bc,
+      round(CASE WHEN bf_in + bf_out > 0 THEN bf_top / (bf_in + bf_out) END, 8) AS bfr, round(dens_file, 8) AS bug_density_file_average,
+      round(dens_loc, 8) AS bug_density_loc_average, round(bf_top / file_top, 8) AS density_bf_file, round(bf_top / loc_top, 8) AS density_bf_loc,
+      round(CASE WHEN bf_in > 0 THEN bf_top / bf_in END, 8) AS bfin_bfr, threshold AS buggy_file_threshold, reached AS current_accumulate_file,
+      file_top AS file_in_top_cluster, listed AS top_buggy_cluster
+    FROM (SELECT project, max(label) + 1 AS cluster_sum, sum(files)::BIGINT AS file_sum, sum(loc)::BIGINT AS loc_sum, max(space) AS file_bs, max(threshold) AS threshold,
+        max(running)::BIGINT AS reached, (sum(files) FILTER ("rank" IS NOT NULL))::BIGINT AS file_top, (sum(loc) FILTER ("rank" IS NOT NULL))::BIGINT AS loc_top,
+        coalesce(sum(bf) FILTER ("rank" IS NOT NULL), 0)::BIGINT AS bf_top, coalesce(sum(bc) FILTER ("rank" IS NOT NULL), 0)::BIGINT AS bc_top,
+        avg(bug_density_file) FILTER ("rank" IS NOT NULL) AS dens_file, avg(bug_density_loc) FILTER ("rank" IS NOT NULL) AS dens_loc,
+        string_agg(label::VARCHAR, ',' ORDER BY "rank") FILTER ("rank" IS NOT NULL) AS listed FROM v_clusters GROUP BY 1) s
+    LEFT JOIN (SELECT project, count(*) FILTER (clusters = 1) AS bf_in, count(*) FILTER (clusters > 1) AS bf_out, sum(churn)::BIGINT AS churn FROM v_perfix_v1 GROUP BY 1) f
+      ON f.project = s.project""")

@@ -687,11 +687,8 @@ def churn_by_cluster(t: Tables) -> DataFrame:
     return _label(hotspots.churn_by_cluster(t.fixes(), t.labels()), "churn")
 
 
-@query
-def risk_report(t: Tables) -> DataFrame:
-    fixes = t.fixes_v1()
-    risk = _risk(t, fixes)
-    report = hotspots.risk_report(fixes, t.labels(), t.loc(), risk.decision, risk.top, "parts")
+def _shown(report: DataFrame) -> DataFrame:
+    """The report with rounded rates and its list of clusters as text."""
     doubles = [c for c, kind in report.dtypes if kind == "double"]
     return report.select(
         *[_r(c) if c in doubles else F.col(c) for c in report.columns[:-1]],
@@ -699,6 +696,22 @@ def risk_report(t: Tables) -> DataFrame:
     )
 
 
+@query
+def risk_report(t: Tables) -> DataFrame:
+    fixes = t.fixes_v1()
+    risk = _risk(t, fixes)
+    return _shown(hotspots.risk_report(fixes, t.labels(), t.loc(), risk.decision, risk.top, "parts"))
+
+
+@query
+def project_risk_report(t: Tables) -> DataFrame:
+    """The same for all projects in one go; one project has half of all files."""
+    keyed = lambda df: df.withColumn("project", t.project(F.col("file_id")))
+    fixes, labels, loc = keyed(t.fixes_v1()), keyed(t.labels()), keyed(t.loc())
+    risk = pipelines.rank_risk(fixes, labels, loc, by=["project"])
+    return _shown(hotspots.risk_reports(fixes, labels, loc, risk.decision, risk.top, ["project"]))
+
+
 @query
 def next_release_report(t: Tables) -> DataFrame:
     report = hotspots.next_release_report(t.fixes_next(), t.labels(), _risk(t, t.fixes_v1()).top, "parts")
