@@ -15,8 +15,10 @@ from riskloom.runtime import store
 # (verdict, host and path): a rule fits its host, all subdomains, and paths that start with its own.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+# canonical may stand anywhere in the list of a rel
+LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:canonical\b|"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b))[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+ORIGIN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -45,21 +47,42 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 
 
 def address(url: Column) -> Column:
-    """The node of an address in the alias graph: without its fragment, which no server sees."""
-    return F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
+    """The node of an address in the alias graph: without its fragment, which no server sees.
+
+    A-Z of scheme and host are folded, and the path's ``.`` and ``..`` segments are resolved.
+    """
+    plain = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
+    origin = F.regexp_extract(plain, ORIGIN, 0)
+    rest = F.substring(plain, F.length(origin) + 1, F.length(plain))
+    way = F.regexp_extract(rest, r"(?s)^[^?]*", 0)
+    query = F.substring(rest, F.length(way) + 1, F.length(rest))
+    dotted = (origin != "") & F.contains(way, F.lit("/."))
+    return F.when(plain.isNotNull(), F.concat(F.translate(origin, UPPER, LOWER), F.when(dotted, _without_dots(way)).otherwise(way), query))
+
+
+def _without_dots(way: Column) -> Column:
+    """A path from ``/`` on without ``.`` and ``..`` segments; ``..`` stops at the root."""
+    parts = F.split(way, "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), empty,
+        lambda have, x: F.when(x == ".", have).when(x == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0)))).otherwise(F.array_append(have, x)),
+    )
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``a, b``: an address and the one its page redirects to (refresh) or names as canonical.
 
     Targets are resolved against the page: ``//host/..`` and ``/path`` take the page's scheme or origin;
-    others without a scheme are paths beside the page. Pages without such a link give no row.
+    others without a scheme are paths beside the page. All such links of a page count. Pages without one give no row.
     """
     base = F.col("url")
     origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*(?:[^?#]*/)?)", 1)
     found = pages.filter(F.col("url").isNotNull()).select(
-        "url", F.explode(F.array(F.regexp_extract("html", LINK, 1), F.regexp_extract("html", REFRESH, 1))).alias("to")
+        "url", F.explode(F.concat(*[F.coalesce(F.regexp_extract_all("html", F.lit(rx), 1), F.array().cast("array<string>")) for rx in (LINK, REFRESH)])).alias("to")
     ).filter("to <> ''")
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     full = (

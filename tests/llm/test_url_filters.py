@@ -1,3 +1,5 @@
+import random
+
 from riskloom.llm import url_filters as uf
 
 SCHEMA = "page_id bigint, url string, html string, component string, rule string"
@@ -56,3 +58,62 @@ def test_links_are_resolved_against_the_page(spark):
     rows = [(i, f"http://d.net/a/{i}", f"<link rel='canonical' href='{to}'>", None, None) for i, to in enumerate(links)]
     got = {(r.a, r.b) for r in uf.alias_edges(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(f"http://d.net/a/{i}", to) for i, to in enumerate(links.values())}
+
+
+def test_addresses_are_folded_and_resolved(spark):
+    want = {
+        "HTTP://A.Net/B/../c/./d#x": "http://a.net/c/d", "http://a.net/../..": "http://a.net/", "http://a.net/x/.": "http://a.net/x/", "http://a.net/a/b/..": "http://a.net/a/",
+        "http://a.net/a/../../b?q=/../x": "http://a.net/b?q=/../x", "http://a.net": "http://a.net", "/../no/./origin": "/../no/./origin", "http://A.net?Q=A/../B": "http://a.net?Q=A/../B",
+        "http://a.net/.hidden/..x/": "http://a.net/.hidden/..x/", "": "", None: None, "http://a.net//x//../y": "http://a.net//x/y",
+    }
+    frame = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r.url: r.node for r in frame.select("url", uf.address(frame.url).alias("node")).collect()} == want
+
+
+def test_all_links_of_a_page_and_lists_of_rel(spark):
+    html = """<link rel="alternate canonical" href="/one"><link rel='nofollow  canonical x' href='two/../three'><link rel=canonical href=//H.com/FOUR>
+        <link rel="noncanonicals" href="/no"><meta http-equiv=refresh content="1; url=../five"><link rel="alternate" href="/canonical">"""
+    pages = spark.createDataFrame([(1, "http://d.net/a/b", html, None, None)], SCHEMA)
+    assert {r.b for r in uf.alias_edges(pages).collect()} == {"http://d.net/one", "http://d.net/a/three", "http://h.com/FOUR", "http://d.net/five"}
+
+
+def test_components_and_precedence_equal_brute_force(spark):
+    """Random pages with links, some to addresses that are no page; every page against all addresses that it reaches."""
+    rng = random.Random(5)
+    hosts = ["x.com", "a.example.org", "example.org", "other.net", "more.net", "y.org"]
+    paths = ["/de/1", "/fr/2", "/es/3", "/en/1", "/en/2", "/", "/p/q"]
+    nodes = [f"http://{h}{p}" for h in hosts for p in paths]
+    rows, edges = [], []
+    for i in range(90):
+        url = rng.choice(nodes)
+        to = [rng.choice(nodes) for _ in range(rng.choice([0, 0, 0, 1, 1, 2]))]
+        html = "".join(f'<link rel="canonical" href="{x}">' if rng.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={x}">' for x in to)
+        rows.append((i, url, html or None))
+        edges += [(url, x) for x in to]
+    part = {n: n for n in nodes}
+
+    def root(n):
+        while part[n] != n:
+            n = part[n]
+        return n
+
+    for a, b in edges:
+        part[root(a)] = root(b)
+
+    def rule(url):
+        host, path = url.split("://")[1].split("/", 1)
+        fits = [(len(r), v) for v, r in uf.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and f"/{path}".startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1] if fits else None
+
+    linked = {n for e in edges for n in e}
+
+    def verdict(url):
+        own = rule(url)
+        if own:
+            return own, "rule"
+        found = {rule(n) for n in linked if root(n) == root(url)} if url in linked else set()
+        return ("allow", "alias") if "allow" in found else ("block", "alias") if "block" in found else ("allow", "default")
+
+    got = {r.page_id: (r.verdict, r.via) for r in judged(spark, rows)}
+    assert got == {i: verdict(u) for i, u, _ in rows}
+    assert len({v for v in got.values()}) >= 4
