@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    cochange, compare, hierarchy, history, hotspots, increments, kmeans, paths, quality, scoring, similarity, splitting, text,
+    assignment, cochange, compare, hierarchy, history, hotspots, increments, kmeans, paths, quality, scoring, similarity, splitting, text,
 )
 from riskloom.operators.history import history_summary, release_diff
 from riskloom.plans import pipelines
@@ -816,6 +816,14 @@ def grouping_overlap(t: Tables) -> DataFrame:
     return compare.grouping_overlap(*_groupings(t), on="file_id")
 
 
+@query
+def group_assignment(t: Tables) -> DataFrame:
+    """Agreement of the two groupings by the best pairing of their groups."""
+    a, b = _groupings(t)
+    found = assignment.agreement(a, b, compare.grouping_overlap(a, b, on="file_id"), on="file_id")
+    return found.select("a_groups", "b_groups", "shared", "kept", "changes", _r("a2a"))
+
+
 @query
 def mojofm(t: Tables) -> DataFrame:
     return compare.mojofm(compare.grouping_overlap(*_groupings(t), on="file_id"))
