@@ -12,7 +12,7 @@ def plan(df):
 def test_labels_of_many_k_are_not_broadcast(spark, tmp_path):
     spark.range(1, 41).select(F.col("id").alias("file_id"), F.lit(3).cast("bigint").alias("loc")).write.parquet(str(tmp_path / "loc"))
     loc = spark.read.parquet(str(tmp_path / "loc"))
-    labels = loc.select(F.explode(F.sequence(F.lit(1), F.lit(12))).cast("bigint").alias("k"), "file_id").withColumn("label", F.col("file_id") % F.col("k"))
+    labels = loc.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(F.col("k").cast("bigint").alias("k"), "file_id").withColumn("label", F.col("file_id") % F.col("k"))
     touched = loc.select((F.col("file_id") % 7).alias("commit"), "file_id")
     inner = quality.inner_changes(labels, touched)
     assert "Broadcast" not in plan(inner)
