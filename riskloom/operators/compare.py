@@ -103,13 +103,12 @@ def delta_samples(table: DataFrame, base: str, others: Sequence[str], drop_avera
 def cluster_deps(deps: DataFrame, labels: DataFrame) -> DataFrame:
     """Dependencies lifted to clusters, ``(src, dst, w)``; an edge with an unlabelled end is skipped.
 
-    File edges are added up before the labels are joined.
+    Edges go through the joins as they come and are added up by clusters, so that no task holds a table of file edges.
     """
-    edges = deps.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     ls = labels.select(F.col("path").alias("src"), F.col("label").alias("src_label"))
     ld = labels.select(F.col("path").alias("dst"), F.col("label").alias("dst_label"))
     return (
-        edges.join(ls, "src")
+        deps.select("src", "dst", "w").join(ls, "src")
         .join(ld, "dst")
         .groupBy(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))
         .agg(F.sum("w").cast("bigint").alias("w"))
