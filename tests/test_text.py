@@ -69,6 +69,18 @@ def test_idf_and_weighted_mean(spark, corpus):
     tf.unpersist()
 
 
+def test_file_sums_are_not_shuffled_in_parts(spark):
+    """Sums of a file are made in one place; missing entries, repeated words and vectors of either precision count as in plain sums."""
+    tf = spark.createDataFrame([(1, "a", 2), (1, "b", 3), (1, "x", 1), (2, "b", 1), (3, "x", 4), (4, "c", 2)], "file_id bigint, word string, tf bigint")
+    vectors = spark.createDataFrame([("a", [0.5, 0.1]), ("b", [2.0, None]), ("b", [1.0, 4.0]), ("c", [None, 1.5]), ("d", [1.0, 1.0])], "token string, vec array<double>")
+    found = text.doc_vectors(tf, vectors, 2, spark.range(1, 6).withColumnRenamed("id", "file_id"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "partial_sum" not in plan
+    got = {r.file_id: (r.known, r.vec) for r in found.collect()}
+    assert got[1] == (8, [(2 * 0.5 + 3 * 2.0 + 3 * 1.0) / 8, (2 * 0.1 + 3 * 4.0) / 8])
+    assert got[2] == (2, [1.5, 2.0]) and got[3] == got[5] == (0, [0.0, 0.0]) and got[4] == (2, [None, 1.5])
+
+
 def test_smoothed_tfidf_has_unit_length(spark):
     paths = {1: "a/Foo.java", 2: "b/foo_bar.java", 3: "Foo/foo.py"}
     df = spark.createDataFrame(list(paths.items()), "file_id BIGINT, path STRING")
