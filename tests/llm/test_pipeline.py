@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import packing, quality_classifier, quality_rules
+from riskloom.llm import packing, quality_classifier, quality_rules, simhash
 from test_shingle_sets import slow_groups
 from test_suffix_dedup import brute as without_strings
 
@@ -84,3 +84,16 @@ def test_empty_documents(spark, tmp_path):
 
 def test_rules_are_those_of_the_current_policy():
     assert quality_rules.CURRENT in quality_rules.POLICIES
+
+
+def test_near_duplicates_by_fingerprint_are_one(spark, tmp_path):
+    """Texts whose fingerprints are within two bits are one even if they share fewer shingles of five words; links of both kinds chain."""
+    rng = random.Random(11)
+    body = [prose(rng, 31)] * 40  # of an odd number of shingles, which outvote those of a few more words
+    one, other = " ".join(body), " ".join([*body, prose(rng, 15)])
+    rows = [(1, one), (2, other), (3, other + " end"), (4, prose(rng, 100)), (4, prose(rng, 100)), (None, one), (None, None), (9, "")]
+    assert (simhash.fingerprint(one.encode()) ^ simhash.fingerprint(other.encode())).bit_count() <= 2
+    assert len(set(slow_groups([(1, one), (2, other)]))) == 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (4, rows[3][1]), (4, rows[4][1]), (9, "")])
