@@ -17,6 +17,7 @@ def test_labels_of_many_k_are_not_broadcast(spark, tmp_path):
     inner = quality.inner_changes(labels, touched)
     assert "Broadcast" not in plan(inner)
     assert "Broadcast" not in plan(quality.label_loc(labels, loc))
+    assert "Broadcast" not in plan(quality.cluster_data(labels, loc, touched=touched))
     assert inner.filter("k = 1").first().in_change == sum(m * (m - 1) // 2 for m in [6, 6, 6, 6, 6, 5, 5])
 
 
