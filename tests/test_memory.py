@@ -1,6 +1,10 @@
-"""No task holds a table of all edges of files by their names."""
+"""What a task holds and sorts stays small: plans of the steps that made tasks grow."""
 
-from riskloom.operators import compare
+import collections
+import itertools
+import random
+
+from riskloom.operators import cochange, compare
 from riskloom.plans.views import Tables
 
 
@@ -20,3 +24,20 @@ def test_dependencies_are_counted_by_number_and_once(spark, tmp_path):
     flow = compare.cluster_deps(given, labels)
     assert {tuple(r) for r in flow.collect()} == {(1, 2, 4)}
     assert sum("Aggregate(" in line for line in plan(flow).splitlines()) == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pairs_of_a_commit_come_from_its_array(spark):
+    rng = random.Random(3)
+    commits = {c: set(rng.choices(range(40), k=rng.randint(1, 6))) for c in range(60)} | {99: set(range(40)), 98: set(range(0, 40, 2))}
+    rows = [(c, f) for c, fs in commits.items() for f in fs] + [(None, 1), (None, 2), (5, None)]
+    touched = spark.createDataFrame(rows, "commit bigint, file_id bigint").repartition(3)
+    want = collections.Counter(p for fs in commits.values() for p in itertools.combinations(sorted(fs), 2))
+    for chunk in (1, 7, 512):
+        assert {(r.a, r.b): r.w for r in cochange.cochange(touched, chunk=chunk).collect()} == dict(want)
+    # no touch is joined with another where no commit is larger than a chunk; one join looks for such commits
+    assert sum("Join" in line for line in plan_of(cochange.cochange(touched)).splitlines()) <= 1
+    assert cochange.cochange(touched.limit(0)).collect() == []
