@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.cochange import cochange
+from riskloom.operators.cochange import cochange, commit_pairs
 from riskloom.runtime import discard, new_path, store
 
 SCHEMA = "a bigint, b bigint, w bigint"
@@ -26,10 +26,10 @@ def changes_between(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
 
 def delta(added: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """What an increment adds to the matrix, ``a, b, w``; w is negative where more is dropped. Work follows the increment and not the history."""
-    edges = cochange(added)
-    if dropped is not None:
-        edges = edges.unionByName(cochange(dropped).withColumn("w", -F.col("w")))
-    return summed(edges)
+    if dropped is None:
+        return cochange(added)
+    signed = lambda touched, w: commit_pairs(touched).withColumn("w", F.lit(w).cast("bigint"))
+    return summed(signed(added, 1).unionByName(signed(dropped, -1)))
 
 
 def summed(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import collections
 import itertools
 import random
 
-from riskloom.operators import cochange, compare
+from riskloom.operators import cochange, compare, increments
 from riskloom.plans.views import Tables
 
 
@@ -41,3 +41,13 @@ def test_pairs_of_a_commit_come_from_its_array(spark):
     # no touch is joined with another where no commit is larger than a chunk; one join looks for such commits
     assert sum("Join" in line for line in plan_of(cochange.cochange(touched)).splitlines()) <= 1
     assert cochange.cochange(touched.limit(0)).collect() == []
+
+
+def test_an_increment_is_summed_once(spark):
+    old = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3)], "commit bigint, file_id bigint")
+    new = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 4)], "commit bigint, file_id bigint")
+    both = increments.delta(new, old)
+    assert {tuple(r) for r in both.collect()} == {(2, 4, 1), (2, 3, -1)}
+    assert sum("Aggregate" in line and "keys=[a#" in line for line in plan_of(both).splitlines()) == 2
+    assert {tuple(r) for r in increments.delta(old).collect()} == {(1, 2, 1), (2, 3, 1)}
+    assert sum("Aggregate" in line and "keys=[a#" in line for line in plan_of(increments.delta(old)).splitlines()) == 2
