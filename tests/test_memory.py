@@ -4,7 +4,7 @@ import collections
 import itertools
 import random
 
-from riskloom.operators import cochange, compare, increments
+from riskloom.operators import cochange, compare, history, increments
 from riskloom.plans.views import Tables
 
 
@@ -51,3 +51,12 @@ def test_an_increment_is_summed_once(spark):
     assert sum("Aggregate" in line and "keys=[a#" in line for line in plan_of(both).splitlines()) == 2
     assert {tuple(r) for r in increments.delta(old).collect()} == {(1, 2, 1), (2, 3, 1)}
     assert sum("Aggregate" in line and "keys=[a#" in line for line in plan_of(increments.delta(old)).splitlines()) == 2
+
+
+def test_candidates_of_issues_are_not_held(spark):
+    commits = spark.createDataFrame([(1, "fix abc-1, abc-1 and abc-12"), (1, "fix abc-1, abc-1 and abc-12"), (2, "none"), (3, "ABC#12"), (4, None)], "commit bigint, message string")
+    issues = spark.createDataFrame([("ABC-1",), ("ABC-1",), ("ABC-12",), ("XYZ-1",)], "issue_key string")
+    hits = history.issue_hits(commits, issues)
+    assert sorted(tuple(r) for r in hits.collect()) == [(1, "ABC-1"), (1, "ABC-12"), (3, "ABC-1"), (3, "ABC-12")]
+    assert not any("Aggregate" in line and "commit" in line and "tail" in line for line in plan_of(hits).splitlines())
+    assert tuple(history.issue_counts(commits, issues).first()) == (3, 2)
