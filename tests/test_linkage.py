@@ -1,0 +1,59 @@
+"""Average linkage from vectors against that from a table of all pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import cochange, hierarchy, linkage, similarity
+from riskloom.plans import pipelines
+
+COLUMNS = ["project", "step", "a", "b", "height", "files", "loc", "degree", "in_change", "a_made_by", "b_made_by"]
+
+
+def corpus(spark, n=26, seed=4):
+    """Groups of near copies, exact copies and a zero vector in two projects."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(20, 6))
+    m = centers[rng.integers(0, 20, n)] + 0.05 * rng.normal(size=(n, 6))
+    m[5:9] = m[5]
+    m[20] = 0
+    ids = rng.permutation(n) * 3
+    rows = [("even" if i % 3 else "third", int(f), [float(x) for x in v]) for i, (f, v) in enumerate(zip(ids, m))]
+    touched = [(c, int(f)) for c in range(120) for f in set(rng.choice(ids, size=4).tolist())]
+    return (
+        spark.createDataFrame(rows, "project STRING, file_id BIGINT, vec ARRAY<DOUBLE>").cache(),
+        spark.createDataFrame([(int(f), int(f) + 1) for f in ids], "file_id BIGINT, loc BIGINT"),
+        spark.createDataFrame(touched, "commit BIGINT, file_id BIGINT").distinct().cache(),
+    )
+
+
+@pytest.mark.parametrize("block,local,held", [(8192, 2000, 16_000), (7, 0, 6)])
+def test_vectors_give_the_dendrogram_of_their_pairs(spark, monkeypatch, block, local, held):
+    vectors, loc, touched = corpus(spark)
+    monkeypatch.setattr(linkage, "_width", lambda units, nodes, own: block)
+    near = linkage.close_merges
+    monkeypatch.setattr(linkage, "close_merges", lambda units, nodes: near(units, nodes, local=local))
+    leaves = hierarchy.leaf_nodes(vectors.select("project", "file_id").join(loc, "file_id"), cochange.cochange_degree(touched), ["project"]).cache()
+    within = touched.join(vectors.select("project", "file_id"), "file_id").select(F.struct("project", "commit").alias("commit"), "file_id")
+    edges = cochange.cochange(within)
+    table = hierarchy.linkage_pairs(similarity.cosine_pairs(vectors, by=["project"]), edges)
+    want = hierarchy.agglomerate(table, leaves, ["project"])
+    got = hierarchy.agglomerate(hierarchy.linkage_pairs(linkage.VectorPairs(vectors), edges), leaves, ["project"], held=held)
+    rows = lambda df: sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=lambda r: r[:2])
+    assert rows(got) == rows(want)
+
+
+def test_a_repeated_or_missing_file_raises(spark):
+    vectors, loc, touched = corpus(spark)
+    vectors = vectors.drop("project")
+    leaves = hierarchy.leaf_nodes(loc)
+    for wrong in (vectors.filter("file_id > 0"), vectors.unionByName(vectors.limit(1))):
+        with pytest.raises(ValueError):
+            hierarchy.agglomerate(linkage.VectorPairs(wrong), leaves)
+
+
+def test_dendrogram_stores_no_table_of_pairs(spark, monkeypatch):
+    vectors, loc, touched = corpus(spark)
+    monkeypatch.setattr(similarity, "cosine_pairs", lambda *a, **k: pytest.fail("all pairs are made"))
+    tree = pipelines.dendrogram(vectors.drop("project"), loc, touched)
+    assert tree.merges.count() == 25
