@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.stopwords import ENGLISH
-from riskloom.operators import text
+from riskloom.operators import krylov, text
 from riskloom.plans import pipelines
 from riskloom.plans.views import Tables
 
@@ -127,6 +127,24 @@ def test_lsa_of_the_documents_equals_numpy(spark):
     weights.unpersist()
 
 
+def test_lsa_holds_few_vectors_at_a_time(spark, monkeypatch):
+    """With little memory for the basis, steps and the result, all components are the same."""
+    rng = np.random.default_rng(9)
+    m = rng.integers(0, 2, size=(60, 40)) * rng.random(size=(60, 40)) * 30
+    cells = [(i, f"w{j:02d}", float(m[i, j])) for i in range(60) for j in range(40) if m[i, j]]
+    weights = spark.createDataFrame(cells, "file_id BIGINT, word STRING, weight DOUBLE")
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    monkeypatch.setattr(krylov, "BASIS_BYTES", 8 * 60 * 4, raising=False)
+    monkeypatch.setattr(krylov, "STEP_BYTES", 8 * 60 * 4, raising=False)
+    monkeypatch.setattr(krylov, "SLICE_BYTES", 8 * 6 * 17, raising=False)
+    shapes, product = [], krylov.multiply
+    monkeypatch.setattr(krylov, "multiply", lambda blocks, vectors: shapes.append(vectors.shape) or product(blocks, vectors))
+    rows = {r.file_id: r.vec for r in text.lsa(weights, components=6, decimals=8).collect()}
+    got = np.array([rows[i] for i in range(60)])
+    assert max(shapes) == (60, 4)
+    assert np.abs(got @ got.T - (u[:, :6] * s[:6] ** 2) @ u[:, :6].T).max() < 1e-4
+
+
 def test_lsa_of_low_rank_and_of_nothing(spark):
     cells = [(i, w, 1.0 + i % 2) for i in range(30) for w in ("a", "b", "c")]
     frame = spark.createDataFrame(cells, "file_id BIGINT, word STRING, weight DOUBLE")
