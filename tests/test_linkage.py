@@ -57,3 +57,45 @@ def test_dendrogram_stores_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "cosine_pairs", lambda *a, **k: pytest.fail("all pairs are made"))
     tree = pipelines.dendrogram(vectors.drop("project"), loc, touched)
     assert tree.merges.count() == 25
+
+
+def test_a_vector_is_sent_to_few_cells(spark):
+    """Neighbouring blocks share cells; pairs and rows are those of single blocks, in single and in double precision."""
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(300, 5))
+    m[::2] = m[::2].astype(np.float32)
+    m[17] = 0
+    vectors = spark.createDataFrame([(i * 2, r.tolist()) for i, r in enumerate(m)], "file_id BIGINT, vec ARRAY<DOUBLE>").repartition(4).cache()
+    for ordered, most in ((True, 24), (False, 12)):
+        sent = similarity._cells(vectors, "file_id", "vec", 3, ordered).groupBy("id").count().agg(F.max("count")).first()[0]
+        assert sent <= most
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    want = np.round(unit @ unit.T, 2)
+    pairs = similarity.cosine_pairs(vectors, block=3).toPandas()
+    assert len(pairs) == len(pairs.drop_duplicates(["a", "b"])) == 300 * 299 // 2 and (pairs.a < pairs.b).all()
+    assert np.allclose(pairs.sim, want[pairs.a // 2, pairs.b // 2])
+    rows = {r.file_id // 2: r.features for r in similarity.distance_rows(vectors, block=3).collect()}
+    assert all(np.allclose(sorted(rows[i]), np.sort(1 - want[i])) for i in range(300))
+    vectors.unpersist()
+
+
+def test_few_active_files_are_sent_few_columns(spark):
+    """Blocks of the active files hold these alone, so that all files go to few of them."""
+    n, block = 400, 10
+    m = np.random.default_rng(3).normal(size=(n, 4))
+    units = linkage.units(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "place BIGINT, vec ARRAY<DOUBLE>")).cache()
+    place = np.arange(n)
+    start, end = np.where(place < 100, 0, 100), np.where(place < 100, 100, n)
+    nodes = linkage.Nodes(start, end, place, np.ones(n, np.int64))
+    active = place % 40 == 0  # 3 and 7 files of two projects
+    sent = linkage._cells(units, nodes, active, block).groupBy("place").agg(F.sum(F.col("is_row").cast("int")).alias("r"), F.sum((~F.col("is_row")).cast("int")).alias("c")).toPandas()
+    assert set(sent.place) == set(range(n)) and (sent.c == 1).all()
+    assert sent[sent.r > 0].place.isin(place[active]).all() and (sent.r > 0).sum() == active.sum()
+    near = {r.place: r.nearest for r in linkage.nearest_nodes(units, nodes, active, block).collect()}
+    unit = m / np.sqrt((m * m).sum(1, keepdims=True))
+    far = linkage.distances(unit, unit)
+    np.fill_diagonal(far, np.inf)
+    far[(start[:, None] != start)] = np.inf
+    assert near == {int(p): int(far[p].argmin()) for p in place[active]}
+    units.unpersist()
